@@ -1,58 +1,16 @@
-"""What the training-data operators share: the shared folder, lineage cuts and small expressions."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Runs of anything but ASCII white space; the same characters in Java, RE2 and Python.
-TOKEN_PATTERN = r"[^ \t\n\r\f\x0B]+"
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='causerie-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-        _written.append((spark, named))
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+from causerie.shipping import shared_dir, ship, written
 
+__all__ = ["fresh", "n_tokens", "shared_dir", "ship", "table", "written"]
 
-def _clean() -> None:
-    while _written:
-        spark, path = _written.pop()
-        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-            _delete(spark, path)
-
-
-atexit.register(_clean)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: lineage ends there, so a lost executor costs no recomputation.
-
-    The tables are slim (keys, hashes, counts). They are deleted when the driver's process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/causerie/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+#: Runs of anything but ASCII white space; the same characters in Java, RE2 and Python.
+TOKEN_PATTERN = r"[^ \t\n\r\f\x0B]+"
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
@@ -73,4 +31,5 @@ def n_tokens(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from causerie.llm import chat, fingerprints, language, mixing, packing, sharding, simhash, url_filter
+from causerie.llm import chat, fingerprints, language, mixing, packing, sharding, simhash, topk, url_filter, warc
 
-_MODULES = [fingerprints, packing, url_filter, sharding, chat, simhash, mixing, language]
+_MODULES = [fingerprints, packing, url_filter, sharding, topk, warc, chat, simhash, mixing, language]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
 QUERIES["pipeline"] = corpus_pipeline.run

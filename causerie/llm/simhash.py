@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ BITS = 128
 DISTANCE = 20
 #: Bits in a partition: what is counted and sent to the driver of a partition's values has 2**WIDTH rows at most.
 WIDTH = 16
+#: Largest threshold of a partition.
+MOST = WIDTH // 2
 #: Codes that are compared at a time; a larger cell is compared in blocks of this many.
 CELL = 500_000
 CANDIDATES = 2_000_000
@@ -153,16 +156,16 @@ def allocate(counts: np.ndarray, distance: int) -> list[int]:
     """Thresholds t (-1: not probed) with sum(t + 1) = distance + 1 and the fewest candidates: dynamic programming over partitions.
 
     If two codes differ in more than t bits in every partition, they differ in at least distance + 1 in all; so
-    each pair within the distance is a candidate of some partition. counts: pairs by partition and threshold.
+    each pair within the distance is a candidate of some partition. counts: costs by partition and threshold, for thresholds up to MOST.
     """
     most = distance + 1
     best = np.full(most + 1, np.inf)
     best[0], back = 0, []
     for c in counts:
-        cost = np.concatenate([[0], c])
+        cost = np.concatenate([[0], c[: MOST + 1]])
         now, choice = np.full(most + 1, np.inf), np.zeros(most + 1, int)
         for s in range(most + 1):
-            for t in range(min(s, WIDTH + 1) + 1):
+            for t in range(min(s, MOST + 1) + 1):
                 if best[s - t] + cost[t] < now[s]:
                     now[s], choice[s] = best[s - t] + cost[t], t
         best = now
@@ -174,6 +177,12 @@ def allocate(counts: np.ndarray, distance: int) -> list[int]:
     return out[::-1]
 
 
+def costs(hist: np.ndarray) -> np.ndarray:
+    """Candidates of a partition by threshold, and as much for each value that is looked up for each code."""
+    looked_up = np.cumsum([comb(WIDTH, t) for t in range(WIDTH + 1)])
+    return candidate_counts(hist) + max(1, hist.sum()) * looked_up
+
+
 class Plan:
     """Cells: within a partition of threshold t, codes within the threshold agree in one of t + 1 parts of its bits; each value of each part is a cell."""
 
@@ -301,11 +310,11 @@ def near_edges(codes: DataFrame, distance: int = DISTANCE, cell: int = CELL) ->
 
     Each cell gives a star for each group that it finds, not all pairs of it.
     """
-    if not 0 <= distance < BITS:
-        raise ValueError(f"distance must be from 0 to {BITS - 1}")
+    if not 0 <= distance < BITS // WIDTH * (MOST + 1):
+        raise ValueError(f"distance must be from 0 to {BITS // WIDTH * (MOST + 1) - 1}")
     groups = group_bits(codes)
     hist = histograms(codes, groups)
-    plan = Plan(groups, allocate(np.stack([candidate_counts(h) for h in hist]), distance), hist, cell)
+    plan = Plan(groups, allocate(np.stack([costs(h) for h in hist]), distance), hist, cell)
     spark = codes.sparkSession
     shared = spark.sparkContext.broadcast(plan)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan.rows // 1_000_000))

@@ -4,12 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from causerie.llm import language, mixing, packing, simhash
+from causerie.llm.common import ship, table, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are in one of the languages of docs' own labels; those without a word or in no language go."""
+    ship(spark)
+    return language.keep_known(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that of the least doc_id."""
+    ship(spark)
+    return simhash.keep_one_each(docs)
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each source as many tokens as its weight, the square root of its tokens, gives it of the whole."""
+    ship(spark)
+    return mixing.keep_mix(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of 2,048 tokens: which tokens of which document go where."""
+    ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("language ID", language_id), ("SimHash near-dedup", near_duplicates), ("mixing", mixing_weights), ("best-fit packing", best_fit_packing)]
+#: The first and the last stage can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The stages one after the other over documents; what each keeps is written and read again, so that none is worked out twice."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{k}")
     return docs

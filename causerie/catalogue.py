@@ -67,7 +67,7 @@ FAULTY = f"""{LAYOUT},
     sizes AS (SELECT conv_id, sum(length(chunk) + 1) AS size FROM placed GROUP BY conv_id),
     spans AS (SELECT conv_id, turn, start, CAST({FAULTS} AS BIGINT) AS "end", speaker FROM placed WHERE kind = 1),
     numbered AS (
-        SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY start) - 1 AS INTEGER) AS at,
+        SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY start) - 1 AS INTEGER) AS "at",
                coalesce(max("end") OVER (PARTITION BY conv_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS reached
         FROM spans)"""
 
@@ -85,12 +85,12 @@ def faulty(spark, d) -> DataFrame:
     return with_turns.withColumn("replicas", F.transform("replicas", spoil)).drop("turns")
 
 
-@query(f"WITH {FAULTY} SELECT 'play/' || n.conv_id AS doc_id, at FROM numbered n JOIN sizes USING (conv_id) WHERE NOT (start >= 0 AND start < \"end\" AND \"end\" <= size)")
+@query(f"WITH {FAULTY} SELECT 'play/' || n.conv_id AS doc_id, \"at\" FROM numbered n JOIN sizes USING (conv_id) WHERE NOT (start >= 0 AND start < \"end\" AND \"end\" <= size)")
 def validate_bounds(spark, d):
     return quality.validate(faulty(spark, d)).where("rule = 'replica_bounds'").select("doc_id", "at")
 
 
-@query(f"WITH {FAULTY} SELECT 'play/' || conv_id AS doc_id, at FROM numbered WHERE start < reached")
+@query(f"WITH {FAULTY} SELECT 'play/' || conv_id AS doc_id, \"at\" FROM numbered WHERE start < reached")
 def validate_overlap(spark, d):
     return quality.validate(faulty(spark, d)).where("rule = 'overlap'").select("doc_id", "at")
 

@@ -51,7 +51,7 @@ def ratio(n: Column, d: Column) -> Column:
 
 
 def percent(x: Column) -> Column:
-    return F.coalesce(F.format_string("%6.1f%%", x * 100), F.lit("     —"))
+    return F.when(x.isNull(), F.lit("      —")).otherwise(F.format_string("%6.1f%%", x * 100))
 
 
 def find(text: Column, needle: Column, lo: Column, hi: Column) -> Column:

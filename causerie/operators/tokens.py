@@ -145,7 +145,7 @@ def contiguous(ts: list[Token], end: int, start: int) -> bool:
 
 
 def parenthesized(ts: list[Token], lo: int, hi: int) -> bool:
-    return any(t.text == "(" for t in ts[max(0, lo - 3) : lo + 3]) and any(t.text == ")" for t in ts[max(0, hi - 4) : hi + 3])
+    return any(t.text == "(" for t in ts[max(0, lo - 3) : lo + 3]) and any(t.text == ")" for t in ts[max(0, hi - 4) : hi + 2])
 
 
 def line_breaks(ts: list[Token], a: tuple[int, int], b: tuple[int, int]) -> int:

@@ -32,6 +32,13 @@ class Columns:
 class Nearest:
     """The k nearest so far of a block of queries."""
 
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        some = np.isfinite(self.best)
+        who, rank = np.nonzero(some)
+        arrays = [self.q.ids[who], (rank + 1).astype(np.int32), self.who[some], np.sqrt(self.best[some])]
+        for lo in range(0, len(who), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 100_000]) for a in arrays], ["query_id", "rank", "neighbour_id", "distance"])
+
     def __init__(self, queries: Columns, k: int) -> None:
         self.q, self.k = queries, k
         self.best = np.full((len(queries.ids), k), np.inf)
@@ -123,28 +130,24 @@ def top_k(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str =
     queries, data = blocks("query-blocks", query_rows), blocks("data-blocks", data_rows)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, seen = None, []
+        """Rows come by task, the block of queries first."""
+        found = None
         for b in batches:
             for i in range(len(b)):
                 column = Columns(np.frombuffer(b.column("ids")[i].as_py(), np.int64), b.column("data")[i].as_py(), dims)
                 if b.column("is_query")[i].as_py():
+                    if found is not None:
+                        yield from found.rows()
                     found = Nearest(column, k)
-                    for x in seen:
-                        found.search(x)
-                    seen = []
-                elif found is None:  # the query's own row comes first but for the order of shuffled batches
-                    seen.append(column)
                 else:
                     found.search(column)
-        some = np.isfinite(found.best)
-        who, rank = np.nonzero(some)
-        arrays = [found.q.ids[who], (rank + 1).astype(np.int32), found.who[some], np.sqrt(found.best[some])]
-        for lo in range(0, max(1, len(who)), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 100_000]) for a in arrays], ["query_id", "rank", "neighbour_id", "distance"])
+        if found is not None:
+            yield from found.rows()
 
     own = queries.select(F.col("block").alias("task"), F.lit(True).alias("is_query"), "ids", "data")
     every = data.crossJoin(queries.select(F.col("block").alias("task"))).select("task", F.lit(False).alias("is_query"), "ids", "data")
-    return own.unionByName(every).groupBy("task").applyInArrow(nearest, out)
+    sent = own.unionByName(every).repartition(max(1, -(-n // query_rows)), "task").sortWithinPartitions("task", F.desc("is_query"))
+    return sent.mapInArrow(nearest, out)
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,18 +62,20 @@ def named_speaker(ts: list[Token], lo: int, hi: int) -> str | None:
     return " ".join(t.text for t in ts[a : b + 1])
 
 
-def attribute(ts: list[Token], said: list[Said]) -> list[tuple[Said, str | None, str]]:
-    """(line, speaker or None, rule). The first rule that applies decides; pronouns stand for the last named speaker where there is one."""
-    play, out = Play(), []
+def by_spelling(ts: list[Token], lo: int, hi: int, said: Said, play: Play) -> str | None:
+    """A pronoun stands for the last named speaker where there is one."""
+    found = named_speaker(ts, lo, hi)
+    if found and found.lower() in PRONOUNS:
+        return next((a for _, a in reversed(play.lines) if a and a.lower() not in PRONOUNS), found)
+    return found
+
 
-    def name(lo: int, hi: int) -> str | None:
-        found = named_speaker(ts, lo, hi)
-        if found and found.lower() in PRONOUNS:
-            named = next((a for _, a in reversed(play.lines) if a and a.lower() not in PRONOUNS), None)
-            return named or found
-        return found
+def attribute(ts: list, said: list[Said], find: Callable = by_spelling) -> list[tuple[Said, str | None, str]]:
+    """(line, speaker or None, rule). The first rule that applies decides; find looks for a speaker in the author's words."""
+    play, out = Play(), []
 
     for k, s in enumerate(said):
+        name = partial(_name, ts, s, play, find)
         prev = said[k - 1] if k else None
         after = said[k + 1] if k + 1 < len(said) else None
         begin = line_start(ts, s.lo)
@@ -101,6 +104,10 @@ def attribute(ts: list[Token], said: list[Said]) -> list[tuple[Said, str | None,
     return out
 
 
+def _name(ts: list, said: Said, play: Play, find: Callable, lo: int, hi: int) -> str | None:
+    return find(ts, lo, hi, said, play) if lo < hi else None
+
+
 def ts_line_above(ts: list[Token], begin: int) -> int:
     return line_start(ts, begin - 1) if begin else begin
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -30,25 +30,21 @@ def authors_note(ts: list[Token], lo: int, hi: int) -> bool:
     return 0 < len(words) <= LONGEST_NOTE and any(map(speaks, words)) and not any(w in ME_OR_YOU for w in words)
 
 
-def _after_dash(ts: list[Token], i: int) -> tuple[int, int] | None:
-    """For a hyphen at i after a break mark inside a spoken line: (first token of the speech after a note, or the line's end; 1 if speech goes on)."""
+def after_dash(ts: list[Token], i: int, start: int) -> tuple[int, int] | None:
+    """For a hyphen at i after a break mark inside a line spoken from start on: (first token of the speech after a note, or the line's end; 1 if speech goes on)."""
     end = line_end(ts, i) + 1
     for k in range(i + 2, end):
-        if ts[k].hyphen and ts[k - 1].breaks and authors_note(ts, i + 1, k):
-            resumes = k + 1 < end
-            if resumes and ts[i - 1].text == "," and ts[k - 1].text in (",", ";") and ts[k + 1].title is False:
-                return k + 1, 1
-            if resumes:
-                return k + 1, 1
+        if ts[k].hyphen and ts[k - 1].breaks and k + 1 < end and authors_note(ts, i + 1, k):
+            return k + 1, 1
     return (end, 0) if authors_note(ts, i + 1, end) else None
 
 
-def extract(ts: list[Token]) -> list[Said]:
+def extract(ts: list, note: Callable = after_dash) -> list[Said]:
     """The spoken lines of a document, in order.
 
     A hyphen that begins a line begins speech to the end of the line, less the author's words set off by hyphens after a break mark. An open quote after a colon begins speech to
     the next close quote. An open quote after a break mark, or at the start, does so if the close quote ends the line or is followed by a hyphen; other quotes are
-    quoted words. Speech that the text's end cuts off is kept.
+    quoted words. Speech that the text's end cuts off is kept. note finds the author's words after a hyphen (see after_dash).
     """
     out: list[Said] = []
     state, back, start, i = "author", "author", 0, 0
@@ -60,7 +56,7 @@ def extract(ts: list[Token]) -> list[Said]:
     while i < len(ts):
         t, prev = ts[i], ts[i - 1] if i else None
         if state == "dash":
-            if t.hyphen and prev and prev.breaks and i > start and (to := _after_dash(ts, i)):
+            if t.hyphen and prev and prev.breaks and i > start and (to := note(ts, i, start)):
                 flush(i, INSERTION if to[1] else ENDING)
                 start, state, i = to[0], "dash" if to[1] else "author", to[0]
                 continue

@@ -16,8 +16,11 @@ from causerie.llm.common import fresh, table, written
 from causerie.llm.words import Digests
 
 BITS = 128
-#: Documents of which at most so many of the 128 bits differ are near-duplicates.
-DISTANCE = 20
+#: Documents are near-duplicates if at most so many of the first 128 of their 256 bits differ, by which candidates are found,
+DISTANCE = 24
+#: and at most so many of all 256.
+VERIFIED = 42
+HALVES = ("f1", "f2", "f3", "f4")
 #: Bits in a partition: what is counted and sent to the driver of a partition's values has 2**WIDTH rows at most.
 WIDTH = 16
 #: Largest threshold of a partition.
@@ -31,15 +34,15 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def simhash(texts: list[str | None], known: Digests) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit words a text, and whether it has a word at all.
+    """Four 64-bit words a text, and whether it has a word at all.
 
-    A bit is set if more than half of the text's distinct words (runs of letters and digits, in lower case) have it in their MD5.
+    A bit is set if more than half of the text's distinct words (runs of letters and digits, in lower case) have it in their SHA-256.
     """
     words = [[w.encode() for w in set(WORD.findall(t.lower()))] if t else [] for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     at = known.indices(words, int(sizes.sum()))
     ends = np.cumsum(sizes)
-    ones = np.zeros((len(texts), BITS), np.int64)
+    ones = np.zeros((len(texts), 2 * BITS), np.int64)
     for k in np.flatnonzero(sizes):
         lo, hi = int(ends[k] - sizes[k]), int(ends[k])
         for i in range(lo, hi, 100_000):
@@ -48,29 +51,28 @@ def simhash(texts: list[str | None], known: Digests) -> tuple[np.ndarray, np.nda
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, f1, f2) a row; f1 and f2 are null if the text has no word."""
+    """(id, text_hash, f1, f2, f3, f4) a row; the fingerprint is null if the text has no word."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Digests()
+        known = Digests(wide=True)
         for b in batches:
             for lo in range(0, len(b), 500):
                 part = b.slice(lo, 500)
                 f, some = simhash(part.column("text").to_pylist(), known)
-                halves = [pa.array(f[:, k].view(np.int64), mask=~some) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), *halves], ["id", "text_hash", "f1", "f2"])
+                halves = [pa.array(f[:, k].view(np.int64), mask=~some) for k in range(len(HALVES))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), *halves], ["id", "text_hash", *HALVES])
 
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(codes, f"id {kind}, text_hash bigint, f1 bigint, f2 bigint")
+    return slim.mapInArrow(codes, f"id {kind}, text_hash bigint, f1 bigint, f2 bigint, f3 bigint, f4 bigint")
 
 
 def _bits(b: pa.RecordBatch | pa.Table) -> np.ndarray:
-    f = np.stack([b.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2")], axis=1)
-    return f
+    return np.stack([b.column(c).to_numpy().view(np.uint64) for c in HALVES], axis=1)
 
 
 def unpack(f: np.ndarray) -> np.ndarray:
-    return np.unpackbits(f.astype(">u8").view(np.uint8), axis=1)
+    return np.unpackbits(f[:, :2].astype(">u8").view(np.uint8), axis=1)
 
 
 def group_bits(codes: DataFrame) -> list[list[int]]:
@@ -234,8 +236,8 @@ class Components:
                 self.label = to
 
 
-def compare(f: np.ndarray, free: list[int], t: int, distance: int, side: np.ndarray | None) -> Components:
-    """Join all codes of a cell that are within the distance and, in the free bits of its partition, within t.
+def compare(f: np.ndarray, free: list[int], t: int, distance: int, verified: int, side: np.ndarray | None) -> Components:
+    """Join all codes of a cell that are within distance and verified and, in the free bits of its partition, within t.
 
     side: if given, only codes of different sides are compared. Pairs known to be connected are not compared again: of a value that many codes share, those near the first one are
     connected through it.
@@ -247,7 +249,9 @@ def compare(f: np.ndarray, free: list[int], t: int, distance: int, side: np.ndar
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         d = np.bitwise_count(f[a, 0] ^ f[b, 0]).astype(np.int16)
         few = np.flatnonzero(d <= distance)
-        return few[d[few] + np.bitwise_count(f[a[few], 1] ^ f[b[few], 1]) <= distance]
+        d = d[few] + np.bitwise_count(f[a[few], 1] ^ f[b[few], 1])
+        few, d = few[d <= distance], d[d <= distance]
+        return few[d + np.bitwise_count(f[a[few], 2] ^ f[b[few], 2]) + np.bitwise_count(f[a[few], 3] ^ f[b[few], 3]) <= verified]
 
     def test(a: np.ndarray, b: np.ndarray) -> None:
         new = found.label[a] != found.label[b]
@@ -305,8 +309,8 @@ def compare(f: np.ndarray, free: list[int], t: int, distance: int, side: np.ndar
     return found
 
 
-def near_edges(codes: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
-    """(a1, a2, b1, b2): edges between codes that connect exactly those that are linked by steps of at most distance bits.
+def near_edges(codes: DataFrame, distance: int = DISTANCE, verified: int = VERIFIED, cell: int = CELL) -> DataFrame:
+    """(u, v): edges between codes (structs) that connect exactly those that are linked by steps of at most distance of the first 128 and verified of all 256 bits.
 
     Each cell gives a star for each group that it finds, not all pairs of it.
     """
@@ -324,13 +328,13 @@ def near_edges(codes: DataFrame, distance: int = DISTANCE, cell: int = CELL) ->
             f = _bits(b)
             for at, c, lo, hi in shared.value.places(f):
                 task = ((c * 1_000_003 + lo * 10_007 + hi) % tasks).astype(np.int32)
-                cols = [task, c.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), f[at, 0].view(np.int64), f[at, 1].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["task", "cell", "lo", "hi", "f1", "f2"])
+                cols = [task, c.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), *(np.ascontiguousarray(f[at, k]).view(np.int64) for k in range(len(HALVES)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["task", "cell", "lo", "hi", *HALVES])
 
     def meet(t: pa.Table) -> pa.Table:
         cells, lo, hi = (t.column(c).to_numpy() for c in ("cell", "lo", "hi"))
         f = _bits(t)
-        order = np.lexsort((f[:, 1], f[:, 0], hi, lo, cells))
+        order = np.lexsort((*f.T[::-1], hi, lo, cells))
         cells, lo, hi, f = cells[order], lo[order], hi[order], f[order]
         cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
         a, b = [], []
@@ -344,15 +348,17 @@ def near_edges(codes: DataFrame, distance: int = DISTANCE, cell: int = CELL) ->
                 mine = f[i:j]
                 spread = ((mine[:, 0] ^ (mine[:, 1] >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                 side = (spread % np.uint64(own)).astype(np.int64) == lo[i]
-            label = compare(f[i:j], free, limit, distance, side).label
+            label = compare(f[i:j], free, limit, distance, verified, side).label
             moved = np.flatnonzero(label != np.arange(j - i))
             a.append(f[i:j][moved])
             b.append(f[i:j][label[moved]])
-        a, b = (np.concatenate(x) if x else np.empty((0, 2), np.uint64) for x in (a, b))
-        return pa.table({"a1": a[:, 0].view(np.int64), "a2": a[:, 1].view(np.int64), "b1": b[:, 0].view(np.int64), "b2": b[:, 1].view(np.int64)})
+        ends = [np.concatenate(x) if x else np.empty((0, len(HALVES)), np.uint64) for x in (a, b)]
+        return pa.table({f"{n}{k + 1}": np.ascontiguousarray(x[:, k]).view(np.int64) for n, x in zip("ab", ends) for k in range(len(HALVES))})
 
-    placed = codes.mapInArrow(place, "task int, cell int, lo int, hi int, f1 bigint, f2 bigint")
-    return placed.groupBy("task").applyInArrow(meet, "a1 bigint, a2 bigint, b1 bigint, b2 bigint").distinct()
+    placed = codes.mapInArrow(place, "task int, cell int, lo int, hi int, f1 bigint, f2 bigint, f3 bigint, f4 bigint")
+    met = placed.groupBy("task").applyInArrow(meet, ", ".join(f"{n}{k + 1} bigint" for n in "ab" for k in range(len(HALVES)))).distinct()
+    code = lambda n: F.struct(*(F.col(f"{n}{k + 1}").alias(h) for k, h in enumerate(HALVES)))
+    return met.select(code("a").alias("u"), code("b").alias("v"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -386,41 +392,39 @@ def connected(edges: DataFrame) -> DataFrame:
     return now
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, verified: int = VERIFIED, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
     """(id, group_id, kept) for every row of docs. See _grouped for columns by which rows can be told apart.
 
-    Two documents are linked if at most distance of their 128 SimHash bits differ (see simhash); a group is all that hangs together by links. group_id is
-    the least id of the group, and the row with it is the one kept. All pairs within the distance are found: the candidates of general pigeonhole partitions
-    (see allocate), each verified on all bits. Equal fingerprints are taken together first, so copies cost nothing.
+    Two documents are linked if at most distance of their first 128 SimHash bits and at most verified of all 256 differ (see simhash); a group is all that hangs
+    together by links. group_id is the least id of the group, and the row with it is the one kept. All such pairs are found: the candidates of general pigeonhole
+    partitions of the first 128 bits (see allocate), each verified on all bits. Equal fingerprints are taken together first, so copies cost nothing.
 
     Texts without a word (null, empty, only punctuation) have no fingerprint: each is a group of its own and kept. Null ids come last in a group.
     Of repeated rows one is kept. An empty table gives no rows. Other columns are not read. Text is read once; only ids and fingerprints are shuffled.
     """
-    return _grouped(docs, distance, id_col, text_col, cell).select(F.col("id").alias(id_col), "group_id", "kept")
+    return _grouped(docs, distance, verified, id_col, text_col, cell).select(F.col("id").alias(id_col), "group_id", "kept")
 
 
-def _grouped(docs: DataFrame, distance: int, id_col: str, text_col: str, cell: int) -> DataFrame:
+def _grouped(docs: DataFrame, distance: int, verified: int, id_col: str, text_col: str, cell: int) -> DataFrame:
     """(id, text_hash, group_id, kept)"""
     rows = written(fingerprints(docs, id_col, text_col), "simhash")
     with_words = rows.where("f1 IS NOT NULL")
-    codes = written(with_words.select("f1", "f2").distinct(), "codes")
-    edges = near_edges(codes, distance, cell)
-    as_nodes = edges.select(F.struct(F.col("a1").alias("f1"), F.col("a2").alias("f2")).alias("u"), F.struct(F.col("b1").alias("f1"), F.col("b2").alias("f2")).alias("v"))
-    root = connected(as_nodes).select(F.col("u.f1").alias("f1"), F.col("u.f2").alias("f2"), F.col("v").alias("root"))
-    led = with_words.join(root, ["f1", "f2"], "left").withColumn("root", F.coalesce("root", F.struct("f1", "f2")))
+    codes = written(with_words.select(*HALVES).distinct(), "codes")
+    root = connected(near_edges(codes, distance, verified, cell)).select("u.*", F.col("v").alias("root"))
+    led = with_words.join(root, list(HALVES), "left").withColumn("root", F.coalesce("root", F.struct(*HALVES)))
     inside = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "text_hash")
     grouped = led.select("id", "text_hash", F.first("id").over(inside).alias("group_id"), (F.row_number().over(inside) == 1).alias("kept"))
     alone = rows.where("f1 IS NULL").select("id", "text_hash", F.col("id").alias("group_id"), F.lit(True).alias("kept"))
     return grouped.unionByName(alone)
 
 
-def keep_one_each(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
+def keep_one_each(docs: DataFrame, distance: int = DISTANCE, verified: int = VERIFIED, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns.
 
     The keys (id, hash of the text) of dropped rows are taken out by an anti join: broadcast up to a number of rows that is counted, shuffled beyond it. Where
     some rows of a key are dropped and one is kept, those few rows are numbered and the first is taken.
     """
-    marked = written(_grouped(docs, distance, id_col, text_col, cell), "simhash-groups")
+    marked = written(_grouped(docs, distance, verified, id_col, text_col, cell), "simhash-groups")
     id_, hash_, number = fresh(docs, "key_id", "key_hash", "key_number")
     keys = marked.groupBy(F.col("id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.max("kept").alias("one"), F.min("kept").alias("all"))
     keys = written(keys.where("NOT all"), "simhash-drop")
@@ -444,13 +448,13 @@ SQL = {
     "op8_simhash_near_duplicates": f"""
         WITH RECURSIVE words AS (
             SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS w FROM documents),
-        hashed AS (SELECT DISTINCT w, CAST('0x' || substr(md5(w), 1, 16) AS UBIGINT) AS h1, CAST('0x' || substr(md5(w), 17, 16) AS UBIGINT) AS h2 FROM words),
-        bits AS (SELECT w, j, CAST((h1 >> j) & 1 AS INTEGER) AS b1, CAST((h2 >> j) & 1 AS INTEGER) AS b2 FROM hashed, (SELECT CAST(unnest(range(64)) AS UBIGINT) AS j)),
-        votes AS (SELECT doc_id, j, 2 * sum(b1) > count(*) AS v1, 2 * sum(b2) > count(*) AS v2 FROM words JOIN bits USING (w) GROUP BY doc_id, j),
+        hashed AS (SELECT w, unnest([1, 2, 3, 4]) AS k, unnest([CAST('0x' || substr(x, 1, 16) AS UBIGINT), CAST('0x' || substr(x, 17, 16) AS UBIGINT), CAST('0x' || substr(x, 33, 16) AS UBIGINT), CAST('0x' || substr(x, 49, 16) AS UBIGINT)]) AS h FROM (SELECT w, sha256(w) AS x FROM (SELECT DISTINCT w FROM words))),
+        bits AS (SELECT w, k, j, CAST((h >> j) & 1 AS INTEGER) AS b FROM hashed, (SELECT CAST(unnest(range(64)) AS UBIGINT) AS j)),
+        votes AS (SELECT doc_id, k, j, 2 * sum(b) > count(*) AS v FROM words JOIN bits USING (w) GROUP BY doc_id, k, j),
         codes AS (
-            SELECT doc_id, string_agg(CASE WHEN v1 THEN '1' ELSE '0' END, '' ORDER BY j)::BIT AS f1, string_agg(CASE WHEN v2 THEN '1' ELSE '0' END, '' ORDER BY j)::BIT AS f2
+            SELECT doc_id, string_agg(CASE WHEN v THEN '1' ELSE '0' END, '' ORDER BY k, j) FILTER (k <= 2)::BIT AS f, string_agg(CASE WHEN v THEN '1' ELSE '0' END, '' ORDER BY k, j)::BIT AS f_all
             FROM votes GROUP BY doc_id),
-        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM codes a, codes b WHERE bit_count(xor(a.f1, b.f1)) + bit_count(xor(a.f2, b.f2)) <= {DISTANCE}),
+        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM codes a, codes b WHERE bit_count(xor(a.f, b.f)) <= {DISTANCE} AND bit_count(xor(a.f_all, b.f_all)) <= {VERIFIED}),
         reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
         groups AS (SELECT a, min(b) AS group_id FROM reach GROUP BY a)
         SELECT d.doc_id, coalesce(g.group_id, d.doc_id) AS group_id, coalesce(g.group_id, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN groups g ON d.doc_id = g.a

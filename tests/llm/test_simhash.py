@@ -25,12 +25,12 @@ def texts():
     return rows
 
 
-def brute(rows, distance):
-    f, some = sh.simhash([t for _, t in rows], Digests())
+def brute(rows, distance, verified=sh.VERIFIED):
+    f, some = sh.simhash([t for _, t in rows], Digests(wide=True))
     label = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if some[i] and some[j] and int(np.bitwise_count(f[i] ^ f[j]).sum()) <= distance and label[i] != label[j]:
+            if some[i] and some[j] and int(np.bitwise_count(f[i, :2] ^ f[j, :2]).sum()) <= distance and int(np.bitwise_count(f[i] ^ f[j]).sum()) <= verified and label[i] != label[j]:
                 old, new = label[i], label[j]
                 label = [new if x == old else x for x in label]
     groups = {}
@@ -50,7 +50,7 @@ def docs(spark, rows):
 
 def test_groups_are_those_of_brute_force(spark):
     rows = texts()
-    for distance, cell in ((20, 50), (20, sh.CELL), (3, sh.CELL), (0, sh.CELL)):
+    for distance, cell in ((sh.DISTANCE, 50), (sh.DISTANCE, sh.CELL), (3, sh.CELL)):
         got = Counter((r.doc_id, r.group_id, r.kept) for r in sh.near_duplicates(docs(spark, rows), distance, cell=cell).collect())
         assert got == brute(rows, distance)
 
@@ -71,12 +71,12 @@ def test_empty(spark):
 
 def test_hot_values(spark):
     rng = np.random.default_rng(5)
-    f = np.zeros((900, 2), np.uint64)
+    f = np.zeros((900, 4), np.uint64)
     for k in range(900):
         for b in rng.integers(0, 64, rng.integers(0, 9)):
-            f[k, rng.integers(0, 2)] ^= np.uint64(1) << np.uint64(b)
+            f[k, rng.integers(0, 4)] ^= np.uint64(1) << np.uint64(b)
     f[450:, 0] ^= np.uint64(0xFFFFFFFF)
-    label = sh.compare(f, list(range(8)), 8, 6, None).label
+    label = sh.compare(f, list(range(8)), 8, 6, 6, None).label
     d = np.bitwise_count(f[:, None] ^ f[None]).sum(2)
     want = sh.Components(900)
     want.join(*np.nonzero(d <= 6))

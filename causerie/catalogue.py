@@ -311,18 +311,10 @@ def audit_gate(spark, d):
     WITH b AS (SELECT item_id, trim(regexp_replace(text, '[\\s]+', ' ', 'g')) AS t FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(text, '[\\s]+', ' ', 'g')) AS t FROM documents)
     SELECT doc_id, item_id, CAST(strpos(d.t, b.t) - 1 AS INTEGER) AS at FROM d, b WHERE b.t <> '' AND strpos(d.t, b.t) > 0""")
 def locate_span(spark, d):
-    """Every place of a benchmark text in a document, whatever white space is between its words.
-
-    Candidates share the text's first 24 characters, so an equality join on an exploded key replaces the product of the tables.
-    """
+    """The first place of each benchmark text in each document, whatever white space is between its words."""
     docs = read(spark, d, "documents").select("doc_id", tx.collapse(F.col("text")).alias("t"))
     items = read(spark, d, "benchmark").select("item_id", tx.collapse(F.col("text")).alias("b")).where("b <> ''")
-    items = items.withColumn("first", F.substring_index("b", " ", 1))
-    words = docs.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("first"))
-    hits = words.join(items, "first").withColumn("at", tx.find(F.col("t"), F.col("b"), F.lit(0), F.char_length("t"))).where("at IS NOT NULL")
-    inner = docs.alias("d").join(items.alias("i"), F.contains("d.t", "i.b") & ~F.col("d.t").startswith(F.col("i.b")) & ~F.contains("d.t", F.concat(F.lit(" "), F.col("i.b"))))
-    rest = inner.select("doc_id", "item_id", tx.find(F.col("t"), F.col("b"), F.lit(0), F.char_length("t")).alias("at"))
-    return hits.select("doc_id", "item_id", F.col("at").cast("int").alias("at")).unionByName(rest.select("doc_id", "item_id", F.col("at").cast("int").alias("at"))).groupBy("doc_id", "item_id").agg(F.min("at").alias("at"))
+    return sequences.locate(docs, items)
 
 
 @query("""

@@ -70,8 +70,12 @@ def by_spelling(ts: list[Token], lo: int, hi: int, said: Said, play: Play) -> st
     return found
 
 
-def attribute(ts: list, said: list[Said], find: Callable = by_spelling) -> list[tuple[Said, str | None, str]]:
-    """(line, speaker or None, rule). The first rule that applies decides; find looks for a speaker in the author's words."""
+def as_decided(k: int, said: list[Said], play: Play, actor: str | None, rule: str) -> tuple[str | None, str]:
+    return actor, rule
+
+
+def attribute(ts: list, said: list[Said], find: Callable = by_spelling, adjust: Callable = as_decided) -> list[tuple[Said, str | None, str]]:
+    """(line, speaker or None, rule). The first rule that applies decides; find looks for a speaker in the author's words, adjust may decide otherwise."""
     play, out = Play(), []
 
     for k, s in enumerate(said):
@@ -99,6 +103,7 @@ def attribute(ts: list, said: list[Said], find: Callable = by_spelling) -> list[
             actor, rule = found, "line_above"
         elif fills and play.last is not None:
             actor, rule = play.last, "last"
+        actor, rule = adjust(k, said, play, actor, rule)
         play.add(s, actor)
         out.append((s, actor, rule))
     return out

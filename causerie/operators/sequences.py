@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causerie.functions.text import collapse, lines
+from causerie.functions.text import collapse, find, lines
 
 
 def triples(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -96,3 +96,19 @@ def palette(df: DataFrame, name: str, order: str, extra: DataFrame | None = None
         more = extra.groupBy(F.col(name).alias("name")).agg(F.lit(0).cast("bigint").alias("n"), F.min(order).alias("first"))
         counted = counted.unionByName(more.join(counted, "name", "left_anti"))
     return counted.orderBy(F.desc("n"), "first").limit(most).select("name", "n")
+
+
+def locate(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, at): first offset of each text b of items (item_id, b) in each text t of docs (doc_id, t), both with single spaces.
+
+    A word inside an item, between two others, is a whole word wherever the item is found. The longest one is the key of an equality join with the
+    documents' distinct words, so only documents that hold it are searched; items of one or two words have no such word and are tried on every document.
+    """
+    split = items.withColumn("_w", F.split("b", " "))
+    inner = F.transform(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))
+    keyed = split.withColumn("_key", F.array_max(inner)["w"]).drop("_w")
+    words = docs.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("_key"))
+    at = find(F.col("t"), F.col("b"), F.lit(0), F.char_length("t")).cast("int").alias("at")
+    long = words.join(keyed.where("_key IS NOT NULL"), "_key").select("doc_id", "item_id", at)
+    short = docs.join(keyed.where("_key IS NULL"), F.contains("t", "b")).select("doc_id", "item_id", at)
+    return long.unionByName(short).where("at IS NOT NULL")

@@ -85,3 +85,10 @@ def test_counters_and_zero_denominators(spark):
     assert [(r.qtype, r.n_gold, r.n_matched, r.precision) for r in evaluation.by_qtype(pairs).collect()] == [("explicit", 1, 1, None), ("implicit", 1, 0, None)]
     lines = {r.path: r.line for r in evaluation.report(evaluation.counters(pairs, "path"), "path").collect()}
     assert "—" in lines["g"] and lines[None].endswith("3 gold")
+
+
+def test_locate(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "xone two threey"), (3, "two"), (4, "")], "doc_id int, t string")
+    items = spark.createDataFrame([(1, "one two three"), (2, "two"), (3, "wo thr"), (4, "two nine three")], "item_id int, b string")
+    got = sorted(map(tuple, sequences.locate(docs, items).collect()))
+    assert got == [(1, 1, 0), (1, 2, 4), (1, 3, 5), (2, 1, 1), (2, 2, 5), (2, 3, 6), (3, 2, 0)]

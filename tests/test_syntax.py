@@ -68,3 +68,45 @@ def test_tails():
 
 def test_empty(spark):
     assert annotated.lines(spark.createDataFrame([], TOKENS)).collect() == []
+
+
+def test_speakers():
+    third = "–/–/PUNCT Иди/идти/VERB/ROOT/1/Mood=Imp,Person=Second !/PUNCT|\n–/–/PUNCT Стой/стоять/VERB/ROOT/4/Mood=Imp,Person=Second !/PUNCT|"
+    ws = words(third)
+    said = [annotated.Said(1, 3), annotated.Said(4, 6)]
+    s = annotated.Speakers(Sentences(ws), said)
+    play = annotated.attribution.Play()
+    play.add(said[0], "Яков")
+    assert s.adjust(1, said, play, "Марта", "alternation") == ("Яков", "imperatives")
+    assert s.adjust(0, said, play, "Марта", "alternation") == ("Марта", "alternation")
+
+
+def test_antecedents():
+    spec = f"Вошла/войти/VERB/ROOT/0/Gender=Fem,Number=Sing Марта/марта/PROPN/nsubj/0/{NOM},Gender=Fem,Animacy=Anim ./PUNCT Дом/дом/NOUN/ROOT/3/{NOM},Gender=Masc,Animacy=Inan ./PUNCT| –/–/PUNCT Да/да/PART/ROOT/6 ,/,/PUNCT –/–/PUNCT сказала/сказать/VERB/parataxis/6/Gender=Fem,Number=Sing она/она/PRON/nsubj/9/{NOM},Gender=Fem,Person=Third ./PUNCT|"
+    ws = words(spec)
+    doc = Sentences(ws)
+    said = annotated.replicas.extract(ws, annotated.noted(doc))
+    assert [(s.lo, s.hi, s.tag) for s in said] == [(6, 8, "before_ending")]
+    assert list(annotated.stretches(doc, said, 10)) == [(8, 10), (3, 5), (0, 3)] or list(annotated.stretches(doc, said, 10))[-1] == (0, 3)
+    s = annotated.Speakers(doc, said)
+    assert annotated.attribution.attribute(ws, said, s.find, s.adjust)[0][1] == "Марта"
+
+
+def test_language(spark):
+    import pytest
+
+    from causerie import language
+
+    assert language.load(" RU ").language == "ru" and language.load("en") is None
+    assert language.model_name("md", lambda n: 1) == "ru_core_news_md"
+    with pytest.warns(UserWarning):
+        assert language.model_name("lg", lambda n: 1 if n.endswith("sm") else None) == "ru_core_news_sm"
+    with pytest.raises(ModuleNotFoundError):
+        language.model_name("sm", lambda n: None)
+    with pytest.raises(ValueError):
+        language.model_name("xl")
+    df = language.corrected(spark.createDataFrame(rows("Шепчет/шептать/NOUN он/он/PRON"), TOKENS), {"шепчет": "VERB"})
+    assert [r.pos for r in df.orderBy("i").collect()] == ["VERB", "PRON"]
+    pipeline, docs = language.load("ru"), spark.createDataFrame([("d", "– Да, – сказала Марта.")], "doc_id string, text string")
+    assert pipeline.replicas(docs).first().replica == "Да," and pipeline.play(docs).first().actor == "Марта"
+    assert pipeline.play(docs, spark.createDataFrame(rows(TALK), TOKENS)).count() == 5

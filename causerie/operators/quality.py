@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causerie.functions.text import span_ok, split_of
@@ -17,32 +17,40 @@ def validate(docs: DataFrame) -> DataFrame:
     """(doc_id, rule, at, detail): what is wrong with each document. at: number of the replica (by start) or of the mention.
 
     duplicate_character, domain, replica_bounds, overlap, unknown_speaker, unknown_addressee, qtype, cue_bounds, mention_bounds, unknown_mention.
-    Characters are looked up in the document's own array, so nothing is joined; the one shuffle numbers the replicas.
+    Characters are looked up in the document's own array, so nothing is joined. Three passes: one over documents, one over replicas with the only shuffle, which
+    numbers them by start, and one over mentions; each row gives all of its issues at once.
     """
     ids = F.coalesce(F.transform("characters", lambda c: c["id"]), F.array().cast("array<string>"))
     base = docs.select("doc_id", "domain", "replicas", "mentions", F.char_length("text").alias("size"), ids.alias("ids"))
-    issue = lambda df, rule, at, detail: df.select("doc_id", F.lit(rule).alias("rule"), at.cast("int").alias("at"), detail.cast("string").alias("detail"))
     none = F.lit(None)
-    chars = base.select("doc_id", F.explode("ids").alias("id")).groupBy("doc_id", "id").count().where("count > 1")
+
+    def issue(wrong: Column, rule: str, at: Column, detail: Column) -> Column:
+        return F.when(wrong, F.struct(F.lit(rule).alias("rule"), at.cast("int").alias("at"), detail.cast("string").alias("detail")))
+
+    def found(df: DataFrame, *issues: Column) -> DataFrame:
+        return df.select("doc_id", F.explode(F.array_compact(F.array(*issues))).alias("x")).select("doc_id", "x.*")
+
+    twice = F.filter(F.array_distinct("ids"), lambda i: F.size(F.filter("ids", lambda j: i == j)) > 1)
+    about = base.select("doc_id", F.explode(F.concat(F.transform(twice, lambda i: issue(F.lit(True), "duplicate_character", none, i)), F.array_compact(F.array(issue(~F.col("domain").isin(*DOMAINS), "domain", none, F.col("domain")))))).alias("x")).select("doc_id", "x.*")
+
     reps = base.select("doc_id", "size", "ids", F.posexplode("replicas").alias("n", "r")).select("doc_id", "size", "ids", "n", "r.*")
     w = Window.partitionBy("doc_id").orderBy("start", "n")
     reps = reps.withColumn("at", F.row_number().over(w) - 1).withColumn("reached", F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
-    ments = base.select("doc_id", "size", "ids", F.posexplode("mentions").alias("at", "m")).select("doc_id", "size", "ids", "at", "m.*")
     span = F.format_string("[%d, %d)", "start", "end")
     unknown = lambda c: F.col(c).isNotNull() & ~F.array_contains("ids", F.col(c))
-    found = [
-        issue(chars, "duplicate_character", none, F.col("id")),
-        issue(base.where(~F.col("domain").isin(*DOMAINS)), "domain", none, F.col("domain")),
-        issue(reps.where(~span_ok(F.col("start"), F.col("end"), F.col("size"))), "replica_bounds", F.col("at"), span),
-        issue(reps.where("start < reached"), "overlap", F.col("at"), span),
-        issue(reps.where(unknown("speaker")), "unknown_speaker", F.col("at"), F.col("speaker")),
-        issue(reps.where(unknown("addressee")), "unknown_addressee", F.col("at"), F.col("addressee")),
-        issue(reps.where(F.col("qtype").isNotNull() & ~F.col("qtype").isin(*QTYPES)), "qtype", F.col("at"), F.col("qtype")),
-        issue(reps.where(F.col("cue").isNotNull() & ~span_ok(F.col("cue.start"), F.col("cue.end"), F.col("size"))), "cue_bounds", F.col("at"), F.format_string("[%d, %d)", "cue.start", "cue.end")),
-        issue(ments.where(~span_ok(F.col("start"), F.col("end"), F.col("size"))), "mention_bounds", F.col("at"), span),
-        issue(ments.where(~F.array_contains("ids", F.col("char"))), "unknown_mention", F.col("at"), F.col("char")),
-    ]
-    return reduce(DataFrame.unionByName, found)
+    at, cue = F.col("at"), F.col("cue")
+    of_replicas = found(
+        reps,
+        issue(~span_ok(F.col("start"), F.col("end"), F.col("size")), "replica_bounds", at, span),
+        issue(F.col("start") < F.col("reached"), "overlap", at, span),
+        issue(unknown("speaker"), "unknown_speaker", at, F.col("speaker")),
+        issue(unknown("addressee"), "unknown_addressee", at, F.col("addressee")),
+        issue(~F.col("qtype").isin(*QTYPES), "qtype", at, F.col("qtype")),
+        issue(cue.isNotNull() & ~span_ok(cue["start"], cue["end"], F.col("size")), "cue_bounds", at, F.format_string("[%d, %d)", "cue.start", "cue.end")),
+    )
+    ments = base.select("doc_id", "size", "ids", F.posexplode("mentions").alias("at", "m")).select("doc_id", "size", "ids", "at", "m.*")
+    of_mentions = found(ments, issue(~span_ok(F.col("start"), F.col("end"), F.col("size")), "mention_bounds", at, span), issue(~F.array_contains("ids", F.col("char")), "unknown_mention", at, F.col("char")))
+    return reduce(DataFrame.unionByName, [about, of_replicas, of_mentions])
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:

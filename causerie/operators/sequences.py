@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causerie.functions.text import collapse, find, lines
+from causerie.functions.text import find
+from causerie.shipping import ship
 
 
 def triples(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -52,19 +57,35 @@ def overlaps(spans: DataFrame, key: str, start: str = "start", end: str = "end")
 
 
 def numbered_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line_no, start, line), from 1. The offset is a running sum inside the row's own array: no shuffle."""
-    parts = docs.select(key, lines(F.col(text)).alias("_l")).where("_l IS NOT NULL")
-    placed = F.aggregate("_l", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda a, x: F.struct((a["at"] + F.char_length(x) + 1).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
-    each = parts.select(key, F.posexplode(F.arrays_zip(placed.alias("start"), F.col("_l").alias("line"))).alias("n", "p"))
-    return each.select(key, (F.col("n") + 1).alias("line_no"), F.col("p.start").alias("start"), F.col("p.line").alias("line"))
+    """(key, line_no, start, line, above): lines from 1 with their offsets, and the nearest line before each that isn't blank.
+
+    In Arrow batches, a document at a time: time is in proportion to the text, and nothing is shuffled.
+    """
+    ship(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in enumerate(b.column("text").to_pylist()):
+                if t is None:
+                    continue
+                found, above, last = t.split("\n"), [], None
+                for x in found:
+                    above.append(last)
+                    if x.strip():
+                        last = x
+                sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
+                keys = b.column("key").take(pa.array([i] * len(found), pa.int64()))
+                cols = [keys, pa.array(np.arange(1, len(found) + 1, dtype=np.int32)), pa.array((np.cumsum(sizes) - sizes).astype(np.int32)), pa.array(found, pa.string()), pa.array(above, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "line_no", "start", "line", "above"])
+
+    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return slim.mapInArrow(run, f"key {kind}, line_no int, start int, line string, above string").withColumnRenamed("key", key)
 
 
 def line_above(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line_no, line, above): the nearest line before that isn't blank, in the same document."""
-    each = docs.select(key, F.posexplode(lines(F.col(text))).alias("n", "line"))
-    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    above = F.last(F.when(collapse(F.col("line")) != "", F.col("line")), ignorenulls=True).over(w)
-    return each.select(key, (F.col("n") + 1).alias("line_no"), "line", above.alias("above"))
+    """(key, line_no, line, above); see numbered_lines."""
+    return numbered_lines(docs, key, text).select(key, "line_no", "line", "above")
 
 
 def first_wins(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:

@@ -406,7 +406,7 @@ def _esc(c):
 def tei_documents(spark, d):
     """Plays in TEI written from the turns; system isn't in the list of persons."""
     line = F.concat(F.lit('<sp who="#'), "role", F.lit('"><speaker>'), "role", F.lit("</speaker><p>"), _esc(F.col("said")), F.lit("</p></sp>"))
-    head = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><person xml:id="user" sex="MALE"><persName>User</persName></person><person xml:id="assistant"><persName>Assistant</persName></person><body>'
+    head = '<TEI xmlns="urn:tei"><person xml:id="user" sex="MALE"><persName>User</persName></person><person xml:id="assistant"><persName>Assistant</persName></person><body>'
     docs = docs_by(_files(spark, d, line, "\n", head, "</body></TEI>"), markup.parse_tei, "stem", "content")
     return docs.select("doc_id", F.explode("replicas").alias("r")).select("doc_id", "r.start", "r.end", "r.speaker")
 
@@ -447,7 +447,7 @@ def xmi_documents(spark, d):
     kind = F.when(F.col("role") == "user", "thought").when(F.col("role") == "system", "name").otherwise("directspeech")
     xml = F.format_string('<type:NamedEntity xmi:id="%d" begin="0" end="1" Name="er" ID="%d"/><type:DirectSpeech begin="%d" end="%d" Speaker="%d" Category="%s"/>', F.col("turn") + 10, "turn", "start", "stop", F.col("turn") + 10, kind)
     each = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "said", xml.alias("x")))).alias("l"))
-    head = '<xmi:XMI xmlns:type="urn:t" xmlns:cas="urn:c" xmlns:xmi="http://www.omg.org/XMI"><cas:Sofa sofaString="'
+    head = '<xmi:XMI xmlns:type="urn:t" xmlns:cas="urn:c" xmlns:xmi="urn:x"><cas:Sofa sofaString="'
     text = F.array_join(F.transform("l", lambda x: _esc(x["said"])), "&#10;")
     files = each.select(F.format_string("%06d", "conv_id").alias("stem"), F.concat(F.lit(head), text, F.lit('"/>'), F.array_join(F.transform("l", lambda x: x["x"]), ""), F.lit("</xmi:XMI>")).alias("content"))
     docs = docs_by(files, markup.parse_xmi, "stem", "content")
@@ -458,9 +458,9 @@ def xmi_documents(spark, d):
 def novel_documents(spark, d):
     rows = _placed(spark, d)
     kind = F.when(F.col("role") == "user", "Explicit").otherwise("Odd")
-    row = F.format_string('"Q%d","x","[]","[[%d, %d]]","%s","[]","%s","nan","[]","[]","[]"', "turn", "start", "stop", "role", kind)
+    row = F.format_string('"Q%d","%s","%s","[[%d, %d]]","[]","nan"', "turn", "role", kind, "start", "stop")
     each = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "said", row.alias("x")))).alias("l"))
-    head = "quoteID,quoteText,subQuotationList,quoteByteSpans,speaker,addressees,quoteType,referringExpression,mentionTextsList,mentionSpansList,mentionEntitiesList\n"
+    head = "quoteID,speaker,quoteType,quoteByteSpans,addressees,referringExpression\n"
     people = "Character ID,Main Name,Aliases,Gender,Category\n0,User,\"{'user', 'User'}\",F,major\n1,Assistant,\"['assistant']\",M,major\n"
     files = each.select(F.format_string("%06d", "conv_id").alias("stem"), F.array_join(F.transform("l", lambda x: x["said"]), "\n").alias("content"), F.lit(people).alias("people"), F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["x"]), "\n")).alias("quotes"))
     docs = docs_by(files, standoff.parse_novel, "stem", "content", "people", "quotes")

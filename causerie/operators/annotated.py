@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from causerie.operators import attribution, replicas
 from causerie.operators.replicas import Said
 from causerie.operators.syntax import Sentences, Word
-from causerie.operators.tokens import line_end
+from causerie.operators.tokens import ENDS, line_end
 from causerie.shipping import ship
 
-SURE = frozenset([".", "!", "?", "…", "..."])
+SURE = ENDS
 #: Speech goes on beyond a question within so many tokens if it speaks to somebody.
 TAIL = 15
 

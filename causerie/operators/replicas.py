@@ -17,6 +17,9 @@ ALTERNATION, INSERTION, STARTING, ENDING = "alternation", "before_insertion", "a
 LONGEST_NOTE = 30
 
 
+Resumed = tuple[int, int] | None
+
+
 @dataclass(slots=True)
 class Said:
     lo: int
@@ -30,7 +33,7 @@ def authors_note(ts: list[Token], lo: int, hi: int) -> bool:
     return 0 < len(words) <= LONGEST_NOTE and any(map(speaks, words)) and not any(w in ME_OR_YOU for w in words)
 
 
-def after_dash(ts: list[Token], i: int, start: int) -> tuple[int, int] | None:
+def after_dash(ts: list[Token], i: int, start: int) -> Resumed:
     """For a hyphen at i after a break mark inside a line spoken from start on: (first token of the speech after a note, or the line's end; 1 if speech goes on)."""
     end = line_end(ts, i) + 1
     for k in range(i + 2, end):

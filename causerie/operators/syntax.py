@@ -15,8 +15,10 @@ from causerie.operators.tokens import BREAKS, CLOSE_QUOTES, ENDS, HYPHENS, OPEN_
 
 TOKENS = "doc_id string, i int, start int, end int, text string, newline boolean, lemma string, pos string, dep string, head int, morph map<string,string>, ent string"
 NOMINAL = frozenset(["NOUN", "PROPN", "PRON", "NUM"])
+NAMING = NOMINAL - {"NUM"}
+DOERS = NOMINAL | {"ADJ"}
 VERBAL = frozenset(["VERB", "AUX"])
-ON_THE_LEFT = frozenset(["det", "fixed", "nmod", "nmod:poss", "amod", "flat", "goeswith", "nummod", "obl", "appos"])
+ON_THE_LEFT = frozenset("amod appos det fixed flat goeswith nmod nmod:poss nummod obl".split())
 ON_THE_RIGHT = ON_THE_LEFT - {"det"}
 REFLEXIVE = frozenset(["себя", "свой", "сам", "себе"])
 #: Lemmas that stand for somebody named elsewhere, and the gender that they imply.
@@ -297,7 +299,6 @@ class Sentences:
             return self.gender(self.chunk(other)) == g and morph_distance(a, b, "Number") == 0
         return agrees(b, a) or (morph_distance(a, b, "Number") == 0 and agrees(self.words[b.head], a))
 
-    # Author's words ----------------------------------------------------------------------------------------------
 
     def tells_of_speech(self, span: Span) -> bool:
         """A subject or object of a verb of speech, a subject above one, or a voice with a telling adjective."""
@@ -317,7 +318,7 @@ class Sentences:
         return any(w.alpha and w.dep != "parataxis" and (up := self.ancestors(w.i)) and inside.issuperset(up) for w in self.cut(match))
 
     def explicit_subject(self, span: Span) -> bool:
-        return any(w.subject and w.pos in ("NOUN", "PROPN", "PRON") for w in self.cut(span))
+        return any(w.subject and w.pos in NAMING for w in self.cut(span))
 
     def authors_note(self, span: Span) -> bool:
         """Are these the author's words about who speaks?"""
@@ -335,7 +336,7 @@ class Sentences:
         words = [w for w in self.cut((lo, hi)) if w.alpha]
         if any(w.person in ("First", "Second", "1", "2") for w in words) or len(words) > 30:
             return False
-        return any(w.pos in VERBAL for w in words) and any(w.pos in ("NOUN", "PROPN", "PRON") for w in words)
+        return any(w.pos in VERBAL for w in words) and any(w.pos in NAMING for w in words)
 
     def onomatopoeia(self, i: int, start: int) -> bool:
         """Is the hyphen at i within a run of sounds, as in "бах – бах! – бах", of a line spoken from start on?"""
@@ -343,7 +344,7 @@ class Sentences:
             return False
         sound, hyphen = self.words[i - 2], self.words[i - 3]
         before = self.words[i - 4] if i - 4 >= start else None
-        return hyphen.hyphen and (sound.pos not in ("NOUN", "PRON", "PROPN") or (before is not None and sound.lemma == before.lemma))
+        return hyphen.hyphen and (sound.pos not in NAMING or (before is not None and sound.lemma == before.lemma))
 
     def classes(self, span: Span) -> str:
         """A letter a word: n newline at an end mark, h hyphen, V verb, A doer in a case of one, e end mark, c comma, s other marks, T title-case word, w word."""
@@ -359,7 +360,7 @@ class Sentences:
                 out.append("s")
             elif w.pos in VERBAL:
                 out.append("V")
-            elif w.pos in ("NOUN", "PROPN", "PRON", "ADJ", "NUM") and w.morph.get("Case") in ("Nom", "Acc", "Dat") and w.person not in ("Second", "2"):
+            elif w.pos in DOERS and w.morph.get("Case") in ("Nom", "Acc", "Dat") and w.person not in ("Second", "2"):
                 out.append("A")
             else:
                 out.append("T" if w.text.istitle() else "w")
@@ -380,7 +381,6 @@ class Sentences:
         letters = self.classes((at, end))
         return (at, end) if re.fullmatch(r"[ec]h[^n]*(V[^n]*A|A[^n]*V)[^n]*n", letters) else None
 
-    # Candidates for a speaker ------------------------------------------------------------------------------------
 
     def top_verbs(self, span: Span, replica: Span) -> list[int]:
         out: list[int] = []

@@ -14,7 +14,7 @@ from causerie.shipping import ship
 HYPHENS = "-–—−"
 OPEN_QUOTES = frozenset("«\"“„‘‚‹'「『＂")
 CLOSE_QUOTES = frozenset("»\"”“’‘›'」』＂")
-ENDS = frozenset([".", "!", "?", "…", "..."])
+ENDS = frozenset("…?!.") | {"..."}
 BREAKS = ENDS | {",", ";", ":"}
 TOKEN = re.compile(r"\.\.\.|[?!]+…?|\w+(?:[-’']\w+)*|[^\w\s]")
 

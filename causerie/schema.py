@@ -8,7 +8,7 @@ CHARACTER = "struct<id:string,name:string,aliases:array<string>,gender:string>"
 MENTION = "struct<start:int,end:int,char:string>"
 DOC = f"doc_id string, lang string, domain string, source string, license string, text string, replicas array<{REPLICA}>, characters array<{CHARACTER}>, mentions array<{MENTION}>"
 DOC_STRUCT = "struct<" + DOC.replace(" string,", ":string,").replace(" array", ":array") + ">"
-QTYPES = ("explicit", "anaphoric", "implicit")
+QTYPES = tuple("anaphoric explicit implicit".split())
 DOMAINS = ("prose", "drama")
 #: The speaker of a line that nobody is known to say, in gold and in predictions.
 NOBODY = "none"

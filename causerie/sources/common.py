@@ -47,6 +47,15 @@ def character(id_: str, name: str, aliases: list[str] = [], gender: str | None =
     return {"id": id_, "name": name, "aliases": list(aliases), "gender": gender}
 
 
+def gender(s: str) -> str | None:
+    """m or f of male, female and their first letters, in any case."""
+    return s[0].lower() if s.lower() in ("female", "f", "male", "m") else None
+
+
+def collapsed(s: str) -> str:
+    return " ".join(s.split())
+
+
 class Ids:
     """Character ids by first use of a name."""
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from causerie.functions.text import canonical_actor, newlines, normalize_name, strip
 from causerie.schema import NOBODY
-from causerie.sources.common import character, docs_by, document, replica, whole_files
+from causerie.sources.common import character, collapsed, docs_by, document, replica, whole_files
 
 DASHES = "-" * 20
+E_FOR_YO = {ord("ё"): "е"}
 
 
 def sections(files: DataFrame, content: str = "content") -> DataFrame:
@@ -53,7 +54,7 @@ def serialize(text: Column, pairs: Column, aliases: Column | None = None) -> Col
     return F.concat(whole, F.lit("\n"))
 
 
-def find_words(text: str, needle: str, at: int) -> tuple[int, int] | None:
+def find_words(text: str, needle: str, at: int):
     """Where the words of needle stand in text from at on, whatever white space is between them."""
     found = re.compile(r"\s+".join(map(re.escape, needle.split()))).search(text, at)
     return found and found.span()
@@ -62,8 +63,8 @@ def find_words(text: str, needle: str, at: int) -> tuple[int, int] | None:
 def to_doc(stem: str, text: str, pairs, aliases) -> dict:
     """Replicas are looked for one after the other; one that isn't found is left out with a warning."""
     canon = dict(aliases) if aliases is not None else {}
-    key = lambda name: canon.get(n := " ".join(name.split()).lower().replace("ё", "е"), n)
-    others: dict[str, list[str]] = {}
+    key = lambda name: canon.get(n := collapsed(name).lower().translate(E_FOR_YO), n)
+    others: dict = {}
     for alias, name in canon.items():
         others.setdefault(name, []).append(alias)
     ids: dict[str, str] = {}

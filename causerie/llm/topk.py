@@ -16,6 +16,8 @@ DIMS_AT_A_TIME = 16
 DATA_ROWS = 8192
 QUERY_ROWS = 2048
 QUERIES_AT_A_TIME = 128
+#: While more than this share of candidates is left, a whole block is added to all; below it, those left are moved together.
+FEW = 0.02
 
 
 class Columns:
@@ -52,19 +54,31 @@ class Nearest:
         """Distances are added up some dimensions at a time. |q - x|^2 of the dimensions to come is at least (|q| - |x|)^2 and at most (|q| + |x|)^2 of them:
         a candidate whose lower bound is above the k-th best distance or k-th least upper bound is dropped, and those left are moved together.
         """
-        q, dims = self.q, len(x.x)
-        d = min(DIMS_AT_A_TIME, dims)
-        head = q.x[:d, lo:hi]
-        part = np.maximum((head**2).sum(0)[:, None] + (x.x[:d] ** 2).sum(0)[None, :] - 2 * (head.T @ x.x[:d]), 0)
-        rq, rx = q.mass[d, lo:hi][:, None], x.mass[d][None, :]
-        worst = self.best[lo:hi, -1].copy()
+        q, dims, d = self.q, len(x.x), 0
         other = q.ids[lo:hi][:, None] != x.ids[None, :]
-        if other.shape[1] > self.k:
-            upper = np.where(other, part + (rq + rx) ** 2, np.inf)
-            worst = np.minimum(worst, np.partition(upper, self.k - 1, axis=1)[:, self.k - 1])
+        limit = self.best[lo:hi, -1].copy()
         slack = 1e-9 * (1 + q.mass[0, lo:hi] + x.mass[0].max(initial=0)) ** 2  # for rounding
-        limit = worst + slack
-        who, cand = np.nonzero((part + (rq - rx) ** 2 <= limit[:, None]) & other)
+        part = np.zeros(other.shape)
+        while True:
+            to = min(d + DIMS_AT_A_TIME, dims)
+            head, block = q.x[d:to, lo:hi], x.x[d:to]
+            part += (head**2).sum(0)[:, None]
+            part += (block**2).sum(0)[None, :]
+            part -= 2 * (head.T @ block)
+            d = to
+            rq, rx = q.mass[d, lo:hi][:, None], x.mass[d][None, :]
+            if not np.isfinite(limit).all() and other.shape[1] > self.k:
+                upper = np.where(other, part + (rq + rx) ** 2, np.inf)
+                limit = np.minimum(limit, np.partition(upper, self.k - 1, axis=1)[:, self.k - 1])
+            lower = rq - rx
+            lower *= lower
+            lower += part
+            alive = lower <= (limit + slack)[:, None]
+            alive &= other
+            if d == dims or np.count_nonzero(alive) < FEW * alive.size:
+                break
+        limit = limit + slack
+        who, cand = np.nonzero(alive)
         so_far = part[who, cand]
         while d < dims:
             to = min(d + DIMS_AT_A_TIME, dims)

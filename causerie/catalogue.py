@@ -265,7 +265,8 @@ def eval_by_language(spark, d):
     return evaluation.micro(_counted(spark, d), "lang")
 
 
-#: Predictions: the turns themselves, but those of turn 2 missing and those of turn 3 with another speaker. Texts in a conversation must be distinct for SQL's join.
+#: Predictions: the turns themselves, but those of turn 2 missing and those of turn 3 with another speaker. The query aligns all turns; SQL's join leaves out
+#: texts that a conversation has more than once, so the two agree on tables without such texts only.
 EDITED = f"""
     t AS (SELECT conv_id, turn, role, {SAID} AS said, CASE turn % 3 WHEN 0 THEN 'explicit' WHEN 1 THEN 'anaphoric' ELSE 'implicit' END AS qtype, count(*) OVER (PARTITION BY conv_id, {SAID}) AS same FROM conversations),
     g AS (SELECT * FROM t WHERE said <> '' AND same = 1),
@@ -274,7 +275,6 @@ EDITED = f"""
 
 def _edited(spark, d) -> DataFrame:
     turns = read(spark, d, "conversations").withColumn("replica", tx.collapse(F.col("text"))).where("replica <> ''")
-    turns = turns.withColumn("same", F.count("*").over(Window.partitionBy("conv_id", "replica"))).where("same = 1")
     kind = F.when(F.col("turn") % 3 == 0, "explicit").when(F.col("turn") % 3 == 1, "anaphoric").otherwise("implicit")
     gold = turns.select("conv_id", F.col("turn").cast("int").alias("seq"), F.col("role").alias("actor"), "replica", kind.alias("qtype"))
     pred = gold.where("seq <> 2").withColumn("actor", F.when(F.col("seq") == 3, "somebody").otherwise(F.col("actor"))).drop("qtype")

@@ -24,6 +24,8 @@ SMOOTHING = 0.1
 SPACE = "▁"
 WORD = re.compile(r"[^\W\d_]+")
 LONG = 32
+#: A word whose sum in some language is below this is summed in logs: well above the least float, so that no part of a larger sum is lost.
+LEAST = 1e-250
 CODES = 0x110000
 REMEMBERED = 200_000
 
@@ -168,12 +170,15 @@ class Scorer:
     def words(self, new: list[str]) -> np.ndarray:
         out = np.empty((len(new), self.log_p.shape[1]))
         short = [k for k, w in enumerate(new) if len(w) <= LONG]
+        low: set[int] = set()
         for lo in range(0, len(short), 20_000):
             part = short[lo : lo + 20_000]
             f = Forward(self.lattice, [SPACE + new[k] for k in part])
-            out[part] = np.log(f.totals(f.arc_p(self.log_p)))
+            totals = f.totals(f.arc_p(self.log_p))
+            out[part] = np.log(np.maximum(totals, LEAST))
+            low.update(part[i] for i in np.flatnonzero((totals < LEAST).any(1)))
         for k in range(len(new)):
-            if len(new[k]) > LONG:
+            if len(new[k]) > LONG or k in low:
                 out[k] = long_word(self.lattice, SPACE + new[k], self.log_p)
         return out
 

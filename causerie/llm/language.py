@@ -219,10 +219,10 @@ def fit(samples: dict[str, list[str]], pieces: list[str], rounds: int = ROUNDS,
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
     """Texts of each label, those of the smallest hashes of id and text: at most rows a label, each of at most chars characters; of repeated rows one.
 
-    First the hash up to which rows are taken is found, for which Spark keeps only the first rows of each partition; then those texts are fetched.
+    First the hash up to which distinct rows are taken is found, for which languages and hashes alone are shuffled; then those texts are fetched.
     """
     fit_for = docs.where(F.col(lang_col).isNotNull() & (F.char_length(text_col) <= chars)).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    first = fit_for.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows)
+    first = fit_for.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows)
     cuts = [(r["lang"], r["h"]) for r in first.groupBy("lang").agg(F.max("h").alias("h")).collect()]
     out: dict[str, list[str]] = {lang: [] for lang, _ in cuts}
     if not cuts:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -112,19 +113,21 @@ def top_k(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str =
     goes through all blocks of data one after the other in one task, with the bounds it has so far; nothing is broadcast, and a task
     holds one block of each. Data are sent once to each block of queries.
 
-    Left out as queries and as neighbours: null ids, null vectors, vectors with a null, NaN or infinite number, and vectors whose length isn't the most frequent one (the larger on equal
-    counts). Repeated rows are rows of their own. An empty table gives no rows. Other columns are not read.
+    Left out as queries and as neighbours: null ids, null vectors, vectors without numbers or with a null, NaN or infinite one. Vectors of different lengths have no distance: each length
+    is searched by itself, one after the other, and a row's neighbours are of its own length. Repeated rows are rows of their own. An empty table gives no rows. Other columns are not read.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     rows = rows.where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))))
     out = "query_id bigint, rank int, neighbour_id bigint, distance double"
-    size = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()
-    if size is None:
-        return vectors.sparkSession.createDataFrame([], out)
-    dims, n = size["dims"], size["n"]
-    rows = rows.where(F.size("v") == dims)
+    sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).where("n > 1").orderBy("dims").collect()
+    found = [_of_one_length(rows.where(F.size("v") == r["dims"]), r["dims"], r["n"], k, data_rows, query_rows, out) for r in sizes]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], out)
+
+
+def _of_one_length(rows: DataFrame, dims: int, n: int, k: int, data_rows: int, query_rows: int, out: str) -> DataFrame:
+    """top_k of n rows (id, v), all of dims numbers."""
     stats = rows.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.var_pop(F.col("x").cast("double")).alias("s")).collect()
     by_variance = np.array([r["at"] for r in sorted(stats, key=lambda r: (-r["s"], r["at"]))], np.int64)
 

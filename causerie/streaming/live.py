@@ -31,7 +31,11 @@ def lines(docs: DataFrame) -> DataFrame:
 def follow(key: tuple[str], turns: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Speakers of the turns that are next in order; turns that came early wait in the state."""
     if state.hasTimedOut:
+        at, last, penult, waiting = state.get
         state.remove()
+        rows = after_gap(key[0], sorted(((w["seq"], w["text"], w["speaker"]) for w in map(_fields, waiting or [])), key=lambda w: w[0]))
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc_id", "seq", "text", "actor", "rule"])
         return
     at, last, penult, waiting = state.get if state.exists else (0, None, None, [])
     queue: dict[int, tuple[str, str | None]] = {w["seq"]: (w["text"], w["speaker"]) for w in map(_fields, waiting or [])}
@@ -58,6 +62,20 @@ def follow(key: tuple[str], turns: Iterator[pd.DataFrame], state: GroupState) ->
         yield pd.DataFrame(rows, columns=["doc_id", "seq", "text", "actor", "rule"])
 
 
+def after_gap(doc_id: str, waiting: list[tuple[int, str, str | None]]) -> list[tuple]:
+    """Rows of the turns that waited for a missing one, in order. Who spoke before a gap says nothing about who speaks after it."""
+    rows, last, penult, before = [], None, None, None
+    for seq, text, speaker in waiting:
+        if before is None or seq != before + 1:
+            last = penult = None
+        actor = speaker if speaker is not None else penult if penult is not None else last
+        rows.append((doc_id, seq, text, actor, "after_gap"))
+        if actor is not None and actor != last:
+            last, penult = actor, last
+        before = seq
+    return rows
+
+
 def _fields(w: Any) -> dict:
     return w if isinstance(w, dict) else w.asDict()
 
@@ -65,7 +83,9 @@ def _fields(w: Any) -> dict:
 def live_lines(turns: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Turns (TURNS) with speakers: the one given, else the speaker before the last one, else the last one.
 
-    A document's turns are numbered from 0 and may come in any order within the watermark; those that come again are dropped. A document without turns for an hour is forgotten.
+    A document's turns are numbered from 0 and may come in any order within the watermark; those that come again are dropped. A document without turns for an hour is forgotten;
+    turns that still wait for a missing one are given out then, in order and with the rule after_gap, speakers found from the turns since the gap alone.
+    Turns that come later count from 0 again, so they wait and are given out in the same way.
     """
     ship(turns.sparkSession)
     marked = turns.withWatermark("at", late)

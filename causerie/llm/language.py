@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,8 @@ ROUNDS = 3
 SMOOTHING = 0.1
 SPACE = "▁"
 WORD = re.compile(r"[^\W\d_]+")
-LONG = 32
-#: A word whose sum in some language is below this is summed in logs: well above the least float, so that no part of a larger sum is lost.
-LEAST = 1e-250
+#: Letters of new words that are summed at a time.
+LETTERS = 400_000
 CODES = 0x110000
 REMEMBERED = 200_000
 
@@ -88,77 +88,74 @@ class Model:
     pieces: list[str]
     log_p: np.ndarray
 
+    @cached_property
+    def scorer(self) -> Scorer:
+        """One a process, so that tasks that follow each other in it remember the same words."""
+        return Scorer(self)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "scorer"}
+
 
 class Forward:
-    """Sums over all segmentations of many words at once."""
+    """Logs of sums over all segmentations of many words at once.
+
+    The state is one flat array with a place for each position of each word, so memory is in proportion to the letters, whatever the words' lengths.
+    """
 
     def __init__(self, lattice: Lattice, words: list[str]) -> None:
         owner, start, end, ids, self.runs = lattice.arcs(words)
+        n = np.array([len(w) for w in words], np.int64)
+        self.last = np.cumsum(n + 1) - 1
+        self.first = self.last - n
         order = np.lexsort((owner, end))
-        self.start, self.end, self.ids, self.owner = start[order], end[order], ids[order], owner[order]
-        self.n = np.array([len(w) for w in words], np.int64)
+        self.owner, self.ids = owner[order], ids[order]
+        self.start, self.end = start[order], end[order]
+        self.before, self.after = self.first[self.owner] + self.start, self.first[self.owner] + self.end
 
     def arc_p(self, log_p: np.ndarray) -> np.ndarray:
+        """Logs of the arcs' probabilities, by language; a character that is no piece has the product of its bytes."""
         out = log_p[np.maximum(self.ids, 0)]
-        for k, run in enumerate(self.runs):
-            out[self.ids == -k - 1] = log_p[list(run)].sum(0)
-        return np.exp(out)
+        if self.runs:
+            odd = self.ids < 0
+            out[odd] = np.array([log_p[list(run)].sum(0) for run in self.runs])[-self.ids[odd] - 1]
+        return out
+
+    @staticmethod
+    def _walk(a: np.ndarray, p: np.ndarray, source: np.ndarray, target: np.ndarray, step: np.ndarray) -> None:
+        """a[target] = log of the sum of exp(a[source] + p) over the arcs into each target; arcs are sorted by step, then target, and lead to later steps only."""
+        firsts = np.flatnonzero(np.diff(target, prepend=-1))
+        cuts = np.flatnonzero(np.diff(step[firsts], prepend=step[firsts][:1] - 1)) if len(firsts) else firsts
+        firsts = np.append(firsts, len(target))
+        for i, j in zip(cuts, [*cuts[1:], len(firsts) - 1]):
+            lo, hi = firsts[i], firsts[j]
+            terms = a[source[lo:hi]] + p[lo:hi]
+            at = firsts[i:j] - lo
+            top = np.maximum.reduceat(terms, at)
+            terms -= np.repeat(top, np.diff(firsts[i : j + 1]), axis=0)
+            a[target[firsts[i:j]]] = top + np.log(np.add.reduceat(np.exp(terms, out=terms), at))
 
     def alphas(self, p: np.ndarray) -> np.ndarray:
-        a = np.zeros((len(self.n), int(self.n.max(initial=0)) + 1, p.shape[1]))
-        a[:, 0] = 1
-        cuts = np.searchsorted(self.end, np.arange(1, a.shape[1] + 1))
-        for e in range(1, a.shape[1]):
-            lo, hi = cuts[e - 1], cuts[e]
-            if hi > lo:
-                owner = self.owner[lo:hi]
-                firsts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
-                a[owner[firsts], e] = np.add.reduceat(a[owner, self.start[lo:hi]] * p[lo:hi], firsts)
+        a = np.zeros((int(self.last[-1]) + 1 if len(self.last) else 0, p.shape[1]))
+        self._walk(a, p, self.before, self.after, self.end)
         return a
 
     def totals(self, p: np.ndarray) -> np.ndarray:
-        return self.alphas(p)[np.arange(len(self.n)), self.n]
+        return self.alphas(p)[self.last]
 
     def expected(self, p: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
         """Expected uses of each piece in one language (p of one column)."""
-        a = self.alphas(p)
-        b = np.zeros_like(a)
-        b[np.arange(len(self.n)), self.n] = 1
+        a, b = self.alphas(p), np.zeros((int(self.last[-1]) + 1 if len(self.last) else 0, 1))
         order = np.lexsort((self.owner, -self.start))
-        starts = self.start[order]
-        for s in range(a.shape[1] - 2, -1, -1):
-            lo, hi = np.searchsorted(-starts, -s, "left"), np.searchsorted(-starts, -s, "right")
-            if hi > lo:
-                arcs = order[lo:hi]
-                owner = self.owner[arcs]
-                firsts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
-                b[owner[firsts], s] = np.add.reduceat(b[owner, self.end[arcs]] * p[arcs], firsts)
-        whole = np.maximum(a[np.arange(len(self.n)), self.n], 1e-300)
-        uses = (a[self.owner, self.start] * p * b[self.owner, self.end] / whole[self.owner])[:, 0] * counts[self.owner]
+        self._walk(b, p[order], self.after[order], self.before[order], -self.start[order])
+        uses = np.exp((a[self.before] + p + b[self.after] - a[self.last[self.owner]])[:, 0]) * counts[self.owner]
         out = np.bincount(np.maximum(self.ids, 0), np.where(self.ids >= 0, uses, 0), size)
-        for k, run in enumerate(self.runs):
+        for run, n in zip(self.runs, np.bincount(np.maximum(-self.ids - 1, 0), np.where(self.ids < 0, uses, 0), len(self.runs))):
             for i in run:
-                out[i] += uses[self.ids == -k - 1].sum()
+                out[i] += n
         return out
 
 
-def long_word(lattice: Lattice, word: str, log_p: np.ndarray) -> np.ndarray:
-    """Log of the sum for a word of any length: one position after the other, scaled on the way."""
-    _, start, end, ids, runs = lattice.arcs([word])
-    order = np.argsort(end, kind="stable")
-    start, end, ids = start[order], end[order], ids[order]
-    arc = log_p[np.maximum(ids, 0)]
-    for k, run in enumerate(runs):
-        arc[ids == -k - 1] = log_p[list(run)].sum(0)
-    cuts = np.searchsorted(end, np.arange(1, len(word) + 2))
-    a = np.zeros((len(word) + 1, log_p.shape[1]))
-    for e in range(1, len(word) + 1):
-        terms = a[start[cuts[e - 1] : cuts[e]]] + arc[cuts[e - 1] : cuts[e]]
-        top = terms.max(0)
-        a[e] = top + np.log(np.exp(terms - top).sum(0))
-    return a[-1]
-
-
 class Scorer:
     """Log of the sum over all segmentations of each word, by language, remembered up to a bound."""
 
@@ -168,18 +165,16 @@ class Scorer:
         self.rows = np.empty((0, model.log_p.shape[1]))
 
     def words(self, new: list[str]) -> np.ndarray:
+        """By so many letters at a time, words of like length together."""
         out = np.empty((len(new), self.log_p.shape[1]))
-        short = [k for k, w in enumerate(new) if len(w) <= LONG]
-        low: set[int] = set()
-        for lo in range(0, len(short), 20_000):
-            part = short[lo : lo + 20_000]
-            f = Forward(self.lattice, [SPACE + new[k] for k in part])
-            totals = f.totals(f.arc_p(self.log_p))
-            out[part] = np.log(np.maximum(totals, LEAST))
-            low.update(part[i] for i in np.flatnonzero((totals < LEAST).any(1)))
-        for k in range(len(new)):
-            if len(new[k]) > LONG or k in low:
-                out[k] = long_word(self.lattice, SPACE + new[k], self.log_p)
+        order = sorted(range(len(new)), key=lambda k: len(new[k]))
+        ends = np.cumsum([len(new[k]) + 1 for k in order])
+        lo = 0
+        while lo < len(order):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + LETTERS, "right")))
+            f = Forward(self.lattice, [SPACE + new[k] for k in order[lo:hi]])
+            out[order[lo:hi]] = f.totals(f.arc_p(self.log_p))
+            lo = hi
         return out
 
     def score(self, docs: list[list[str]]) -> np.ndarray:
@@ -208,7 +203,7 @@ def fit(samples: dict[str, list[str]], pieces: list[str], rounds: int = ROUNDS,
     lattice, languages = Lattice(pieces), sorted(samples)
     log_p = np.full((len(pieces), len(languages) + 1), -math.log(len(pieces)))
     for k, lang in enumerate(languages):
-        counts = Counter(w for t in samples[lang] for w in WORD.findall(t.lower()) if len(w) <= LONG)
+        counts = Counter(w for t in samples[lang] for w in WORD.findall(t.lower()))
         f, n = Forward(lattice, [SPACE + w for w in counts]), np.array(list(counts.values()), float)
         for _ in range(rounds):
             uses = f.expected(f.arc_p(log_p[:, k : k + 1]), n, len(pieces)) + smoothing
@@ -241,34 +236,34 @@ def identify(docs: DataFrame, model: Model, min_posterior: float = 0.4, id_col:
 
     Words are the runs of letters of the lower-case text. A word's likelihood in a language is the sum, over all its segmentations into pieces
     of the vocabulary, of the product of the pieces' probabilities. No piece crosses a word's bounds, so a text's is the product of its words'
-    likelihoods, and each distinct word is summed once for as long as it is remembered. language is the most likely one (posterior: languages equally likely before); on equal
+    likelihoods, and each distinct word is summed once for as long as it is remembered. All sums are in logs, whatever a word's length and letters: none is
+    below the least float, so likelihoods are finite. language is the most likely one (posterior: languages equally likely before); on equal
     likelihood the first by name.
 
     accepted: some language makes the text more likely than no language does, which has all pieces of the vocabulary alike, and its
-    posterior among all of these is at least min_posterior. Texts without a word, null among them, have language null, posterior 0 and are not accepted. Ids may repeat or be null. Other
-    columns are not read. Whole texts are scored; no shuffle.
+    posterior among all of these is at least min_posterior. Texts without a word, null among them, have language null, posterior 0 and are not accepted. Ids may repeat or be null; repeated rows have a row each. An empty table gives no rows, and a model without languages
+    null, 0 and not accepted for all. Very long texts and words are scored whole, a word by its letters' number of steps. Other columns are not read. No shuffle.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for b in batches:
             for lo in range(0, len(b), 500):
                 part = b.slice(lo, 500)
-                yield pa.RecordBatch.from_arrays([part.column("id"), *verdicts(shared.value, scorer, part.column("text").to_pylist(), min_posterior)], ["id", "language", "posterior", "log_likelihood", "n_words", "accepted"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), *verdicts(shared.value, part.column("text").to_pylist(), min_posterior)], ["id", "language", "posterior", "log_likelihood", "n_words", "accepted"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(label, f"id {kind}, language string, posterior double, log_likelihood double, n_words bigint, accepted boolean").withColumnRenamed("id", id_col)
 
 
-def verdicts(model: Model, scorer: Scorer, texts: list[str | None], min_posterior: float) -> list[pa.Array]:
+def verdicts(model: Model, texts: list[str | None], min_posterior: float) -> list[pa.Array]:
     words = [WORD.findall(t.lower()) if t else [] for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     if not model.languages:
         return [pa.nulls(len(n), pa.string()), pa.array(np.zeros(len(n))), pa.nulls(len(n), pa.float64()), pa.array(n), pa.array(np.zeros(len(n), bool))]
-    total = scorer.score(words)
+    total = model.scorer.score(words)
     at, k = np.arange(len(n)), len(model.languages)
     best = total[:, :k].argmax(1)
     posterior = np.where(n > 0, 1 / np.exp(np.minimum(total - total[at, best][:, None], 700)).sum(1), 0)
@@ -277,19 +272,19 @@ def verdicts(model: Model, scorer: Scorer, texts: list[str | None], min_posterio
     return [names, pa.array(posterior), pa.array(total[at, best], mask=n == 0), pa.array(n), pa.array(accepted)]
 
 
-def keep_known(docs: DataFrame, vocabulary_path: str = VOCABULARY, min_posterior: float = 0.4, text_col: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, vocabulary_path: str = VOCABULARY, min_posterior: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs whose language is accepted, with all their columns; the model is fitted on docs' own labels. See identify.
 
-    The test is a filter on the text inside the scan's own stage; nothing is shuffled or joined.
+    Null, empty and blank texts have no language and go, as does everything if no row has a label. Repeated rows stay or go together; null ids are ids like others; an
+    empty table gives no rows. Columns are addressed by name, so others of any name pass through. The test is a filter on the text inside the scan's own stage; nothing is shuffled or joined.
     """
-    model = fit(sample(docs), vocabulary(vocabulary_path))
+    model = fit(sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), vocabulary(vocabulary_path))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")
     def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(shared.value)
         for texts in batches:
-            parts = [verdicts(shared.value, scorer, texts.slice(lo, 500).to_pylist(), min_posterior)[-1] for lo in range(0, len(texts), 500)]
+            parts = [verdicts(shared.value, texts.slice(lo, 500).to_pylist(), min_posterior)[-1] for lo in range(0, len(texts), 500)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.bool_())
 
     return docs.where(known(F.col(text_col)))

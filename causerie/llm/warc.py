@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import zlib
 from collections.abc import Iterator
+from hashlib import sha256
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -17,7 +20,9 @@ from causerie.shipping import delete, new_path
 
 CHUNK = 1 << 20
 LEVEL = 6
-INDEX = "file string, record bigint, warc_type string, record_id string, target_uri string, offset bigint, length bigint, content_length bigint, error string"
+#: A head of more bytes than this is an error: none grows without bound in memory.
+MOST_HEAD = 64 << 20
+INDEX = "path string, file string, record bigint, warc_type string, record_id string, target_uri string, offset bigint, length bigint, content_length bigint, error string"
 
 
 class Inflated:
@@ -46,6 +51,8 @@ class Inflated:
         at = 0
         while (end := self.have.find(b"\n", at)) < 0:
             at = len(self.have)
+            if at > MOST_HEAD:
+                raise ValueError("a line of the record's head doesn't end")
             if not self._more():
                 end = len(self.have) - 1
                 break
@@ -75,14 +82,20 @@ def records(stream: Inflated) -> Iterator[tuple[bytes, dict[str, str], int]]:
             return
         if not first.startswith(b"WARC/"):
             raise ValueError(f"no WARC record: {first[:40]!r}")
-        head, fields = [first], {}
+        head, fields, n = [first], {}, len(first)
         while (line := stream.line()).strip():
             head.append(line)
+            n += len(line)
+            if n > MOST_HEAD:
+                raise ValueError("the record's head doesn't end")
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
         if not line:
             raise ValueError("the record's head is cut off")
-        yield b"".join(head) + b"\r\n", fields, int(fields["content-length"])
+        size = fields.get("content-length", "")
+        if not re.fullmatch("[0-9]{1,18}", size):
+            raise ValueError(f"no record without a content length: {size[:40]!r}")
+        yield b"".join(head) + b"\r\n", fields, int(size)
 
 
 def _put(fs, tmp: str, to: str) -> None:
@@ -92,17 +105,41 @@ def _put(fs, tmp: str, to: str) -> None:
     fs.move(tmp, to)
 
 
+#: How a field of the sidecar is written: one line a record, tabs between fields.
+ESCAPES = str.maketrans({"\\": "\\\\", "\t": "\\t", "\n": "\\n", "\r": "\\r"})
+
+
+def sidecar_line(fields: tuple) -> str:
+    return "\t".join("-" if v is None else f"\\{v}" if v == "-" else str(v).translate(ESCAPES) for v in fields) + "\n"
+
+
+def sidecar_fields(line: str) -> list[str | None]:
+    """A line of the sidecar read back."""
+    plain = {"t": "\t", "n": "\n", "r": "\r"}
+    return [None if v == "-" else re.sub(r"\\(.)", lambda m: plain.get(m[1], m[1]), v) for v in line.removesuffix("\n").split("\t")]
+
+
+def output_name(path: str) -> str:
+    """The file's own name after sixteen digits of its address's hash: files of one name in several folders don't meet."""
+    return f"{sha256(path.encode()).hexdigest()[:16]}-{posixpath.basename(path)}"
+
+
 def normalise_file(path: str, out_dir: str, attempt: str, level: int = LEVEL) -> Iterator[tuple]:
     """Rows of the index of one file; see normalise."""
-    fs, source = pafs.FileSystem.from_uri(path)
     to_fs, to = pafs.FileSystem.from_uri(out_dir)
-    name = posixpath.basename(source)
+    name = output_name(path)
     to_fs.create_dir(to, recursive=True)
     tmp = f"{to}/.{name}.{attempt}"
-    rows, at, error = [], 0, None
-    with fs.open_input_stream(source, compression=None) as raw, to_fs.open_output_stream(tmp, compression=None) as out:
-        stream = Inflated(raw)
+    n, at, error = 0, 0, None
+    try:
+        fs, source = pafs.FileSystem.from_uri(path)
+        raw = fs.open_input_stream(source, compression=None)
+    except (OSError, ValueError) as e:
+        yield (path, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")
+        return
+    with raw, to_fs.open_output_stream(tmp, compression=None) as out, to_fs.open_output_stream(f"{tmp}.idx", compression=None) as index:
         try:
+            stream = Inflated(raw)
             for head, fields, size in records(stream):
                 deflate, start = zlib.compressobj(level, zlib.DEFLATED, 31), at
                 pieces = [deflate.compress(head)]
@@ -112,17 +149,16 @@ def normalise_file(path: str, out_dir: str, attempt: str, level: int = LEVEL) ->
                 for piece in pieces:
                     out.write(piece)
                     at += len(piece)
-                rows.append((name, len(rows), fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), start, at - start, size, None))
-        except (ValueError, KeyError, zlib.error) as e:
+                row = (n, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), start, at - start, size)
+                index.write(sidecar_line(row).encode("utf-8", "surrogatepass"))
+                yield (path, name, *row, None)
+                n += 1
+        except (OSError, ValueError, zlib.error) as e:
             error = f"{type(e).__name__}: {e}"
-    with to_fs.open_output_stream(f"{tmp}.idx", compression=None) as out:
-        for r in rows:
-            out.write("\t".join("-" if v is None else str(v) for v in r[1:8]).encode() + b"\n")
     _put(to_fs, tmp, f"{to}/{name}")
     _put(to_fs, f"{tmp}.idx", f"{to}/{name}.idx")
-    yield from rows
     if error:
-        yield (name, len(rows), None, None, None, None, None, None, error)
+        yield (path, name, n, None, None, None, None, None, None, error)
 
 
 def _attempt() -> str:
@@ -131,26 +167,26 @@ def _attempt() -> str:
 
 
 def normalise(files: DataFrame, out_dir: str, level: int = LEVEL) -> DataFrame:
-    """The index, (file, record, warc_type, record_id, target_uri, offset, length, content_length, error), of gzip WARC files whose addresses are in files' column path.
+    """The index, (path, file, record, warc_type, record_id, target_uri, offset, length, content_length, error), of gzip WARC files whose addresses are in files' column path.
 
-    Each file is inflated once, as a stream, and written to out_dir under its own name with every record as a gzip member of its own: length bytes from offset
-    on inflate to the record alone. Beside it NAME.idx has a line of tabs a record: record, type, id, target, offset, length, content length, "-" for what is missing.
+    Each file is inflated once, as a stream, and written to out_dir as file (see output_name: unlike for unlike addresses) with every record as a gzip member of its own: length bytes from offset
+    on inflate to the record alone. Beside it FILE.idx has a line a record: record, type, id, target, offset, length, content length, with tabs between them, "-" for what is missing, and tabs, line ends and
+    backslashes escaped (see sidecar_fields).
 
-    A file that is cut off or holds anything else gives the records up to there and a row with error. An empty file has no records. Null paths are left out; of repeated paths one
-    is taken, and file names must differ. One task a file; a task holds one compressed record. Run again, a task writes the same files.
+    A file that is cut off or holds anything else, a record without a content length or with an endless head among it, gives the records up to there and a row with error; a file that can't be opened gives such a row
+    alone, with null file. An empty file has no records, an empty table no rows. Null paths are left out; of repeated paths one
+    is taken. Records of any length pass in pieces; repeated records are records of their own. Other columns are not read. One task a file; a task holds one compressed record. Run again, a task writes the same files.
     """
     paths = files.select("path").where("path IS NOT NULL").distinct()
-    paths = paths.repartition(max(1, paths.count()), "path")
+    # dealt from one partition, of paths alone, each task gets just one
+    paths = paths.coalesce(1).repartition(max(1, paths.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in INDEX.split(", ")]
-        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        for b in batches:
-            for path in b.column("path").to_pylist():
-                rows = list(normalise_file(path, out_dir, _attempt(), level))
-                for lo in range(0, len(rows), 50_000):
-                    cols = list(zip(*rows[lo : lo + 50_000]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        rows = (r for b in batches for path in b.column("path").to_pylist() for r in normalise_file(path, out_dir, _attempt(), level))
+        while part := list(islice(rows, 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names)
 
     return paths.mapInArrow(run, INDEX)
 
@@ -187,13 +223,13 @@ def write_monolithic(pages: DataFrame, out_dir: str) -> DataFrame:
 
 
 def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages are first written as monolithic files, which are deleted when they have been normalised."""
+    """The pages are first written as monolithic files, which are deleted when they have been normalised. file: the monolithic file's name."""
     staged, out = new_path(spark, "warc-monolithic"), new_path(spark, "warc")
     files = written(write_monolithic(table(spark, sf_dir, "pages"), staged), "warc-paths")
     index = written(normalise(files, out), "warc-index")
     delete(spark, staged)
     page = F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(-?[0-9]+)>$', 1) AS bigint)")
-    return index.withColumn("page_id", page)
+    return index.drop("path").withColumn("file", F.expr("substring(file, 18)")).withColumn("page_id", page)
 
 
 SQL: dict[str, str] = {}

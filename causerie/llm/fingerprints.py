@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causerie.llm.common import table
+from causerie.llm.common import table, written
 from causerie.llm.words import Digests
 
 SHINGLE = 5
-SCALED = 64
+#: One hash in so many is kept: the production scale, fit for texts from some 50 words on.
+SCALED = 8
+#: Share of a document's kept hashes that another must have in the query of containment.
+CONTAINED = 0.8
 
 
 #: Modulus and multipliers of the two halves of a shingle's hash; see shingle_hashes.
@@ -66,7 +69,7 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE, scaled: int = SCALED, id_col
     in B without bias, however unequal A and B are.
 
     No shuffle: one pass over the text, in Arrow batches; an MD5 a distinct word instead of one a shingle. A text of fewer words than a shingle is one shingle. Null and blank texts have 0
-    words and no hashes. Ids may repeat or be null: each row has its own sketch. Other columns are not read.
+    words and no hashes. Very long texts are sketched whole. Ids may repeat or be null: each row, repeated ones too, has its own sketch. An empty table gives no rows. Other columns are not read.
     """
     if not 1 <= shingle <= len(MULTIPLIERS[0]):
         raise ValueError(f"shingle must be from 1 to {len(MULTIPLIERS[0])}")
@@ -100,51 +103,104 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE, scaled: int = SCALED, id_col
     return slim.mapInArrow(sketches, f"id {kind}, n_words int, scaled int, hashes array<bigint>").withColumnRenamed("id", id_col)
 
 
-def merge(sketches: DataFrame, *keys: str) -> DataFrame:
-    """(keys, n_words, scaled, hashes): the sketch of the union of each group's documents. Scales must agree."""
-    each = sketches.select(*keys, F.explode("hashes").alias("hash"), "scaled").distinct()
-    hashes = each.groupBy(*keys).agg(F.array_sort(F.collect_list("hash")).alias("hashes"))
-    sums = sketches.groupBy(*keys).agg(F.sum("n_words").alias("n_words"), F.min("scaled").alias("scaled"), F.max("scaled").alias("most"))
-    checked = sums.withColumn("scaled", F.when(F.col("scaled") == F.col("most"), F.col("scaled")).otherwise(F.raise_error(F.lit("sketches of unequal scale"))))
-    same = [checked[k].eqNullSafe(hashes[k]) for k in keys]
-    on = same[0] if same else F.lit(True)
-    for s in same[1:]:
-        on = on & s
-    return checked.join(hashes, on, "left").select(*[checked[k] for k in keys], "n_words", "scaled", F.coalesce("hashes", F.array().cast("array<bigint>")).alias("hashes"))
+def merge(sketches: DataFrame, *keys: str, scaled: int = SCALED) -> DataFrame:
+    """(keys, scaled, hash): a row a hash of the sketch of the union of each group's documents, at one scale for all.
 
+    A sketch of a finer scale holds that of a coarser one: of it the hashes below 1/scaled of the range count. One that is coarser than scaled can't be refined and fails the job.
+    A row a hash, so that no group, however large, is gathered; hashes are made distinct within partitions before they are shuffled, by (keys, hash).
 
-def containment(sketches: DataFrame, at_least: float, id_col: str = "doc_id") -> DataFrame:
-    """(a, b, shared, containment): estimated share of a's shingles that b has, for all ordered pairs of at_least that share a hash.
+    Null keys are keys like others; without keys all documents are one group. Null and blank texts add nothing, so a group of them alone has no rows; repeated documents add nothing. An empty table gives no rows.
+    """
+    top = limit(scaled)
+    kept = F.when(F.col("scaled") > scaled, F.raise_error(F.format_string("a sketch of scale %d can't be refined", "scaled")).cast("array<bigint>")).otherwise(F.filter("hashes", lambda h: h < top))
+    return sketches.select(*keys, F.lit(scaled).alias("scaled"), F.explode(kept).alias("hash")).distinct()
+
+
+def classes(sketches: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, class_id) of every row whose sketch has a hash: rows with one and the same set of hashes are a class, named by its least id (null only if all are null)."""
+    named = sketches.where(F.size("hashes") > 0).select(F.col(id_col).alias("id"), _name(F.col("hashes")).alias("n"))
+    least = named.groupBy("n").agg(F.min("id").alias("class_id"))
+    return named.join(least, "n").select(F.col("id").alias(id_col), "class_id")
+
+
+def _name(hashes: Column) -> Column:
+    """128 bits that tell sets of hashes apart."""
+    return F.md5(F.to_binary(F.array_join(hashes, ","), F.lit("utf-8")))
+
+
+def containment(sketches: DataFrame, at_least: float = CONTAINED, id_col: str = "doc_id") -> DataFrame:
+    """(a, b, shared, containment): estimated share of a's shingles that b has, for all ordered pairs of classes (see classes) that share a hash and of which it is at_least.
 
-    Join on the hash, then a count: all pairs that share a kept hash are looked at. Ids should be unique. Documents without
-    kept hashes have no pairs.
+    Rows with equal sketches are one class, so copies are not paired with each other. Who has at_least of a's n hashes has one of any n - ceil(at_least n) + 1 of them: a is looked up
+    by so many of its rarest ones alone, and hashes that many documents share are used only for documents that hardly have others. Where they are, they are dealt out by salt: the rows of b with a hash go to as many places as
+    they are thousands, to each of which a's go. Candidates are verified on whole sketches. All sketches must be of one scale.
+
+    Ids should be unique for other uses, but may be null or repeat. Documents without kept hashes are in no class and no pair: at scale 1 in s a text of n shingles
+    has none with probability (1 - 1/s)^n. Ties don't arise. An empty table gives no rows.
     """
-    each = sketches.select(F.col(id_col).alias("id"), F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
-    a, b = each.alias("a"), each.select("id", "hash").alias("b")
-    pairs = a.join(b, (F.col("a.hash") == F.col("b.hash")) & (F.col("a.id") != F.col("b.id")))
-    counted = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    return counted.select("a", "b", "shared", (F.col("shared") / F.col("n")).alias("containment")).where(F.col("containment") >= at_least)
+    if not 0 < at_least <= 1:
+        raise ValueError("at_least must be above 0 and at most 1")
+    some = sketches.where(F.size("hashes") > 0).select(F.col(id_col).alias("id"), "hashes")
+    one = written(some.groupBy(_name(F.col("hashes")).alias("name")).agg(F.min("id").alias("id"), F.first("hashes").alias("hashes")), "sketch-classes")
+    each = one.select("name", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+    common = written(each.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1"), "sketch-common")
+    shared = written(each.join(common, "hash"), "sketch-shared")
+    # hashes of one document are those of no other: they come first and pair with nobody
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("name"))
+    rank = alone + F.row_number().over(Window.partitionBy("name").orderBy("df", "hash"))
+    looked_up = shared.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(at_least)) + 1)
+    places = F.greatest(F.lit(1), F.ceil(F.col("df") / 1000)).cast("int")
+    a = looked_up.select(F.col("name").alias("a"), "hash", F.explode(F.sequence(F.lit(0), places - 1)).alias("salt"))
+    b = shared.select(F.col("name").alias("b"), "hash", F.pmod(F.xxhash64("name"), places.cast("bigint")).cast("int").alias("salt"))
+    pairs = written(a.join(b, ["hash", "salt"]).where("a <> b").select("a", "b").distinct(), "sketch-candidates")
+    left, right = one.select(F.col("name").alias("a"), F.col("id").alias("a_id"), F.col("hashes").alias("a_hashes")), one.select(F.col("name").alias("b"), F.col("id").alias("b_id"), F.col("hashes").alias("b_hashes"))
+    counted = pairs.join(left, "a").join(right, "b").select("a_id", "b_id", F.size(F.array_intersect("a_hashes", "b_hashes")).alias("shared"), F.size("a_hashes").alias("n"))
+    return counted.where(F.col("shared") >= F.col("n") * F.lit(at_least)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "shared", (F.col("shared") / F.col("n")).alias("containment"))
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of whole sources, at a coarser scale."""
+    docs = table(spark, sf_dir, "documents")
+    sketched = sketch(docs.withColumn("key", F.struct("doc_id", "source")), id_col="key")
+    return merge(sketched.select(F.col("key.source").alias("source"), "scaled", "hashes"), "source", scaled=8 * SCALED).groupBy("source").agg(F.count("*").alias("n_hashes"), F.min("hash").alias("least"), F.sum(F.col("hash") % 1_000_003).alias("checksum"))
+
+
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(sketch(table(spark, sf_dir, "documents")))
+
+
+def fingerprint_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment(sketch(table(spark, sf_dir, "documents")))
+
+
 def _half_sql(half: int) -> str:
     terms = (f"coalesce(CAST('0x' || substr(md5(words[i + {k}]), {1 + 8 * half}, 8) AS BIGINT) % {PRIME} * {MULTIPLIERS[half][k]} % {PRIME}, 0)" for k in range(SHINGLE))
     return f"(({' + '.join(terms)}) % {PRIME})"
 
 
+_SKETCHED = f"""
+    split AS (
+        SELECT doc_id, source, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '') AS words FROM documents),
+    hashed AS (
+        SELECT doc_id, source, CAST(len(words) AS INTEGER) AS n_words,
+               list_transform(CASE WHEN len(words) > 0 THEN range(1, greatest(len(words) - {SHINGLE - 2}, 2)) ELSE [] END,
+                              lambda i: CAST({_half_sql(0)} AS BIGINT) * {1 << 31} + {_half_sql(1)}) AS hashes
+        FROM split),
+    sketched AS (SELECT doc_id, source, n_words, {SCALED} AS scaled, list_sort(list_distinct(list_filter(hashes, lambda h: h < {limit(SCALED)}))) AS hashes FROM hashed)"""
 SQL = {
-    "op1_document_fingerprints": f"""
-        WITH split AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '') AS words FROM documents),
-        hashed AS (
-            SELECT doc_id, CAST(len(words) AS INTEGER) AS n_words,
-                   list_transform(CASE WHEN len(words) > 0 THEN range(1, greatest(len(words) - {SHINGLE - 2}, 2)) ELSE [] END,
-                                  lambda i: CAST({_half_sql(0)} AS BIGINT) * {1 << 31} + {_half_sql(1)}) AS hashes
-            FROM split)
-        SELECT doc_id, n_words, {SCALED} AS scaled, list_sort(list_distinct(list_filter(hashes, lambda h: h < {limit(SCALED)}))) AS hashes FROM hashed
-    """
+    "op1_document_fingerprints": f"WITH {_SKETCHED} SELECT doc_id, n_words, scaled, hashes FROM sketched",
+    "fingerprint_merge": f"""
+        WITH {_SKETCHED}, each AS (SELECT DISTINCT source, unnest(hashes) AS hash FROM sketched)
+        SELECT source, count(*) AS n_hashes, min(hash) AS least, CAST(sum(hash % 1000003) AS BIGINT) AS checksum FROM each WHERE hash < {limit(8 * SCALED)} GROUP BY source""",
+    "fingerprint_classes": f"WITH {_SKETCHED} SELECT doc_id, min(doc_id) OVER (PARTITION BY hashes) AS class_id FROM sketched WHERE len(hashes) > 0",
+    "fingerprint_containment": f"""
+        WITH {_SKETCHED}, one AS (SELECT min(doc_id) AS id, hashes FROM sketched WHERE len(hashes) > 0 GROUP BY hashes),
+        each AS (SELECT id, len(hashes) AS n, unnest(hashes) AS hash FROM one),
+        counted AS (SELECT a.id AS a, b.id AS b, a.n, count(*) AS s FROM each a JOIN each b ON a.hash = b.hash AND a.id <> b.id GROUP BY 1, 2, 3)
+        SELECT a, b, CAST(s AS INTEGER) AS shared, s::DOUBLE / n AS containment FROM counted WHERE s >= n * {CONTAINED}::DOUBLE""",
 }
-QUERIES = {"op1_document_fingerprints": op1_document_fingerprints}
+QUERIES = {"op1_document_fingerprints": op1_document_fingerprints, "fingerprint_merge": fingerprint_merge, "fingerprint_classes": fingerprint_classes, "fingerprint_containment": fingerprint_containment}

@@ -14,7 +14,7 @@ from causerie.llm.common import n_tokens, table, written
 
 CAPACITY = 2048
 #: Pieces are ranked within slices of the hash of about this many.
-SLICE_PIECES = 100_000
+SLICE_PIECES = 25_000
 
 
 def fullest(counts: dict[int, int], lengths: list[int], capacity: int) -> dict[int, int]:

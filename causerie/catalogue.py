@@ -353,7 +353,7 @@ def alternation(spark, d):
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[-’''][\\p{L}\\p{N}_]+)*')) AS BIGINT) AS n_words FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}_]')")
 def token_counts(spark, d):
-    found = tokens.tokens(read(spark, d, "documents").select("doc_id", "text"))
+    found = tokens.tokens(read(spark, d, "documents").select("doc_id", "text"), "text", "is_word")
     return found.where(F.col("is_word") | F.col("text").startswith("_")).groupBy("doc_id").agg(F.count("*").alias("n_words"))
 
 

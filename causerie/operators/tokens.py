@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -86,25 +87,88 @@ def _ended(before: list[Token]) -> bool:
 
 
 SCHEMA = "doc_id string, i int, start int, end int, text string, line_no int, sentence int, newline boolean, is_word boolean, is_title boolean, is_hyphen boolean, opens boolean, closes boolean"
-
-
-def tokens(docs: DataFrame) -> DataFrame:
-    """A row a token of docs (doc_id, text), in Arrow batches; null and empty texts have none."""
+_KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+KINDS = {c.split()[0]: c.split()[1] for c in SCHEMA.split(", ")}
+ARROW = pa.schema([(n, _KINDS[k]) for n, k in KINDS.items()])
+PLACED = frozenset("start end line_no sentence newline".split())
+FLAGS = ("is_word", "is_title", "is_hyphen", "opens", "closes", "ends")
+
+
+class Flags(dict):
+    """What the spelling of a token tells, as bits in the order of FLAGS, worked out once a spelling."""
+
+    MOST = 200_000
+
+    def __missing__(self, text: str) -> int:
+        t = Token(0, 0, 0, text, False)
+        bits = sum(1 << k for k, holds in enumerate((t.word, t.title, t.hyphen, t.opens, t.closes, t.ends)) if holds)
+        if len(self) >= self.MOST:
+            self.clear()
+        self[text] = bits
+        return bits
+
+
+def _last(mark: np.ndarray) -> np.ndarray:
+    """Position of the last marked one before each, or -1."""
+    at = np.maximum.accumulate(np.where(mark, np.arange(len(mark)), -1))
+    return np.concatenate([[-1], at[:-1]])
+
+
+def columns_of(text: str, wanted: Sequence[str], flags: Flags) -> dict[str, list | np.ndarray]:
+    """The wanted columns of a text's tokens, as arrays; those of tokenize."""
+    out: dict[str, list | np.ndarray] = {}
+    if PLACED.isdisjoint(wanted):
+        said = TOKEN.findall(text)
+    else:
+        spans = np.fromiter((x for m in TOKEN.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
+        out["start"], out["end"] = spans[:, 0], spans[:, 1]
+        said = [text[a:b] for a, b in spans.tolist()]
+        breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
+        line = np.searchsorted(breaks, spans[:, 0])
+        out["line_no"] = line - line[:1] + 1
+        out["newline"] = np.append(np.diff(line) > 0, True)[: len(said)]
+    out["text"], out["i"] = said, np.arange(len(said))
+    if not {*FLAGS, "sentence"}.isdisjoint(wanted):
+        bits = np.fromiter(map(flags.__getitem__, said), np.int64, len(said))
+        out |= {name: (bits >> k & 1).astype(bool) for k, name in enumerate(FLAGS)}
+    if "sentence" in wanted:
+        stays = out["is_word"] | out["is_hyphen"]
+        ended = _last(out["ends"] & ~stays) > _last(stays)
+        begins = np.concatenate([[False], out["newline"][:-1]])[: len(said)] | (ended & (stays | out["opens"]))
+        out["sentence"] = 1 + np.cumsum(begins)
+    return {name: out[name] for name in wanted}
+
+
+def tokens(docs: DataFrame, *columns: str) -> DataFrame:
+    """A row a token of docs (doc_id, text): doc_id and columns, or all of SCHEMA; null and empty texts have none.
+
+    Columns are made as arrays, a batch of documents at a time; naming those needed saves the work for the others (offsets and lines cost the most).
+    """
     ship(docs.sparkSession)
+    wanted = [c for c in columns if c != "doc_id"] or [c for c in KINDS if c != "doc_id"]
+    schema = pa.schema([ARROW.field(c) for c in ("doc_id", *wanted)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = Flags()
         for b in batches:
-            for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                rows = [(key, t.i, t.start, t.end, t.text, t.line, t.sentence, t.newline, t.word, t.title, t.hyphen, t.opens, t.closes) for t in tokenize(text or "")]
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r)) for r in rows], schema=ARROW)
-
-    return docs.selectExpr("cast(doc_id AS string) AS doc_id", "text").mapInArrow(run, SCHEMA)
-
-
-NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-_KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
-ARROW = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in SCHEMA.split(", ")])
+            keys, texts = b.column("doc_id"), b.column("text").to_pylist()
+            lo = 0
+            while lo < len(texts):
+                owner, parts, n = [], [], 0
+                while lo < len(texts) and n < 200_000:
+                    if texts[lo]:
+                        parts.append(columns_of(texts[lo], wanted, flags))
+                        size = len(parts[-1][wanted[0]])
+                        owner.append(np.full(size, lo))
+                        n += size
+                    lo += 1
+                if n:
+                    cols = [keys.take(pa.array(np.concatenate(owner)))]
+                    for c in wanted:
+                        cols.append(pa.array([x for p in parts for x in p[c]], pa.string()) if c == "text" else pa.array(np.concatenate([p[c] for p in parts])).cast(ARROW.field(c).type))
+                    yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    return docs.selectExpr("cast(doc_id AS string) AS doc_id", "text").mapInArrow(run, ", ".join(f"{c} {KINDS[c]}" for c in ("doc_id", *wanted)))
 
 
 def has_newline(ts: list[Token], i: int) -> bool:

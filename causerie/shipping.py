@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,9 +17,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a local session, whose tasks all run here, gets a folder of its own, as in tests; on a cluster there is no folder that
+    all executors are known to share, and the setting is asked for.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='causerie-')}"
         spark.conf.set("spark.checkpoint.dir", named)
         _written.append((spark, named))
@@ -51,6 +58,19 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def paths_so_far() -> int:
+    return len(_written)
+
+
+def replaced(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df written (see written); all that was written after since paths had been (see paths_so_far) is deleted then, as df alone read it."""
+    out = written(df, name)
+    for spark, path in _written[since:-1]:
+        delete(spark, path)
+    del _written[since:-1]
+    return out
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors the package as a zip file, once an application; it is handed on by way of the shared folder."""
     sc = spark.sparkContext

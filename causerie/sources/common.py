@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causerie.functions.text import newlines
-from causerie.schema import DOC_STRUCT
+from causerie.schema import DOC, DOC_ARROW
 from causerie.shipping import ship
 
 
@@ -29,10 +29,10 @@ def docs_by(df: DataFrame, f: Callable[..., dict | None], *columns: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = (f(*row) for row in zip(*(b.column(c).to_pylist() for c in columns)))
-            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(d, ensure_ascii=False) for d in made if d is not None], pa.string())], ["j"])
+            while part := list(islice((d for d in made if d is not None), 500)):
+                yield pa.RecordBatch.from_pylist(part, schema=DOC_ARROW)
 
-    made = df.select(*columns).mapInArrow(run, "j string")
-    return made.select(F.from_json("j", DOC_STRUCT, {"mode": "FAILFAST"}).alias("d")).select("d.*")
+    return df.select(*columns).mapInArrow(run, DOC)
 
 
 def document(doc_id: str, lang: str, domain: str, source: str, licence: str, text: str, replicas: list, characters: list, mentions: list) -> dict:

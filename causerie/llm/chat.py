@@ -17,7 +17,7 @@ def expand_turns(conversations: DataFrame, target_role: str = "assistant") -> Da
 
     Turns are ordered by (turn, role, text), null first. A null role is written "unknown" and is no target; a
     null text is empty. Repeated rows are turns of their own. Rows of a null conv_id form one conversation.
-    A target with nothing before it has an empty context. An empty table gives no rows. Other columns are
+    A target with nothing before it has an empty context. Very long texts are written whole, in every example that holds them. An empty table gives no rows. Other columns are
     not read.
 
     One shuffle by conv_id; a conversation is put together in one row, as its examples are.

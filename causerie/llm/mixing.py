@@ -84,6 +84,9 @@ def keep_mix(docs: DataFrame, budget: float = 1.0, weights: dict[str, float] | N
     """The rows of docs in the mix of one budget, with all their columns; see mix.
 
     The thresholds (a row a source) are joined to the documents: Spark broadcasts them while they are below its broadcast limit.
+
+    A null source is a source, a null id counts as ''. Null and empty texts have 0 tokens and are in if their hash is below the threshold. Rows of one id, repeated ones too, are in or out together, so no tie is broken.
+    Very long texts count whole. An empty table gives no rows.
     """
     slim = written(docs.select(F.col(source_col).alias("source"), hash60(F.col(id_col)).alias("h"), n_tokens(F.col(text_col)).alias("n_tokens")), "mix-rows")
     source, cut = fresh(docs, "mix_source", "mix_cut")

@@ -27,7 +27,7 @@ def shard(docs: DataFrame, num_shards: int = NUM_SHARDS, id_col: str = "doc_id",
     so no window runs over the whole corpus in one task.
 
     Null text counts as 0 bytes; rows of 0 bytes go where they start, those at the very end to the last
-    shard. Repeated ids keep all their rows. An empty table gives no rows. Other columns are not read.
+    shard. Repeated ids keep all their rows. A text longer than the target is a row of its shard like others, and the shards that it covers besides are empty. An empty table gives no rows. Other columns are not read.
     """
     if num_shards < 1:
         raise ValueError("num_shards must be at least 1")

@@ -422,7 +422,9 @@ def keep_one_each(docs: DataFrame, distance: int = DISTANCE, verified: int = VER
     """The rows of docs that near_duplicates keeps, with all their columns.
 
     The keys (id, hash of the text) of dropped rows are taken out by an anti join: broadcast up to a number of rows that is counted, shuffled beyond it. Where
-    some rows of a key are dropped and one is kept, those few rows are numbered and the first is taken.
+    some rows of a key are dropped and one is kept, those few rows are numbered, by the hash of their other columns, and the first is taken: which one doesn't depend on partitions.
+
+    Texts without a word are kept, repeated ones too. Very long texts are read whole. An empty table gives no rows. Other columns may have any name.
     """
     marked = written(_grouped(docs, distance, verified, id_col, text_col, cell), "simhash-groups")
     id_, hash_, number = fresh(docs, "key_id", "key_hash", "key_number")
@@ -436,7 +438,7 @@ def keep_one_each(docs: DataFrame, distance: int = DISTANCE, verified: int = VER
     if repeated.isEmpty():
         return rest
     again = docs.join(repeated, same, "left_semi")
-    one = again.withColumn(number, F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0)))).where(F.col(number) == 1)
+    one = again.withColumn(number, F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.xxhash64(*(F.to_json(F.struct(c)) for c in docs.columns if c not in (id_col, text_col)))))).where(F.col(number) == 1)
     return rest.unionByName(one.drop(number))
 
 

@@ -77,8 +77,8 @@ def flag_listed(pages: DataFrame, listed: DataFrame, url_col: str = "url", keys:
     hold pass without any join; only possible hits are shuffled, to the exact join on hash and address,
     which removes false positives. The filter is broadcast; its size has a bound (see build).
 
-    Pages without an address are not blocked. Repeated pages are flagged one by one. An empty list blocks
-    nothing. Columns besides keys and url are not read.
+    Pages without an address, null or blank, are not blocked. Repeated pages are flagged one by one; ties don't arise. Very long addresses are compared whole. An empty list blocks
+    nothing, an empty table of pages gives no rows. Columns besides keys and url are not read.
     """
     spark = pages.sparkSession
     names = listed.select(canonical_url(F.col("url")).alias("name")).where("name IS NOT NULL").distinct().select("name", F.xxhash64("name").alias("h"))

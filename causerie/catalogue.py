@@ -390,12 +390,15 @@ def native_sections(spark, d):
 
 @query(f"WITH {PARSED}, s AS (SELECT *, CAST(coalesce(sum(length(said) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start FROM n) SELECT 'native/' || printf('%06d', conv_id) AS doc_id, start, CAST(start + length(said) AS INTEGER) AS \"end\" FROM s")
 def native_documents(spark, d):
+    docs = native.to_docs(native.sections(native_files(spark, d)))
+    return docs.select("doc_id", F.explode("replicas").alias("r")).select("doc_id", "r.start", "r.end")
+
+
+def native_files(spark, d) -> DataFrame:
     turns = read(spark, d, "conversations").withColumn("said", tx.collapse(F.col("text"))).where("said <> ''")
     each = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.struct(F.col("role").alias("actor"), F.col("said").alias("replica")).alias("p")))).alias("l"))
     pairs = F.transform("l", lambda x: x["p"])
-    files = each.select(F.format_string("%06d", "conv_id").alias("stem"), native.serialize(F.array_join(F.transform(pairs, lambda p: p["replica"]), "\n"), pairs).alias("content"))
-    docs = native.to_docs(native.sections(files))
-    return docs.select("doc_id", F.explode("replicas").alias("r")).select("doc_id", "r.start", "r.end")
+    return each.select(F.format_string("%06d", "conv_id").alias("stem"), native.serialize(F.array_join(F.transform(pairs, lambda p: p["replica"]), "\n"), pairs).alias("content"))
 
 
 def _esc(c):
@@ -405,10 +408,14 @@ def _esc(c):
 @query(f"WITH {LAYOUT} SELECT 'rusdracor/' || printf('%06d', conv_id) AS doc_id, CAST(start AS INTEGER) AS start, CAST(\"end\" AS INTEGER) AS \"end\", CASE WHEN speaker = 'system' THEN NULL ELSE speaker END AS speaker FROM placed p WHERE kind = 1")
 def tei_documents(spark, d):
     """Plays in TEI written from the turns; system isn't in the list of persons."""
+    docs = docs_by(tei_files(spark, d), markup.parse_tei, "stem", "content")
+    return docs.select("doc_id", F.explode("replicas").alias("r")).select("doc_id", "r.start", "r.end", "r.speaker")
+
+
+def tei_files(spark, d) -> DataFrame:
     line = F.concat(F.lit('<sp who="#'), "role", F.lit('"><speaker>'), "role", F.lit("</speaker><p>"), _esc(F.col("said")), F.lit("</p></sp>"))
     head = '<TEI xmlns="urn:tei"><person xml:id="user" sex="MALE"><persName>User</persName></person><person xml:id="assistant"><persName>Assistant</persName></person><body>'
-    docs = docs_by(_files(spark, d, line, "\n", head, "</body></TEI>"), markup.parse_tei, "stem", "content")
-    return docs.select("doc_id", F.explode("replicas").alias("r")).select("doc_id", "r.start", "r.end", "r.speaker")
+    return _files(spark, d, line, "\n", head, "</body></TEI>")
 
 
 RUNNING = 'CAST(coalesce(sum(length(said) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER)'
@@ -416,10 +423,14 @@ RUNNING = 'CAST(coalesce(sum(length(said) + 1) OVER (PARTITION BY conv_id ORDER
 
 @query(f"WITH {PARSED}, s AS (SELECT *, {RUNNING} AS start FROM n) SELECT 'quoteli3/' || printf('%06d', conv_id) AS doc_id, start, CAST(start + length(said) AS INTEGER) AS \"end\", CASE role WHEN 'user' THEN 'char_0' WHEN 'assistant' THEN 'char_1' END AS speaker FROM s")
 def quote_xml_documents(spark, d):
+    docs = docs_by(quote_xml_files(spark, d), markup.parse_quotes, "stem", "content")
+    return docs.select("doc_id", F.explode("replicas").alias("r")).select("doc_id", "r.start", "r.end", "r.speaker")
+
+
+def quote_xml_files(spark, d) -> DataFrame:
     line = F.concat(F.lit('<quote speaker="'), "role", F.lit('">'), _esc(F.col("said")), F.lit("</quote>"))
     head = '<doc><characters><character name="User" aliases="user;User" gender="male"/><character name="Assistant" aliases="assistant"/></characters><text>'
-    docs = docs_by(_files(spark, d, line, "\n", head, "</text></doc>"), markup.parse_quotes, "stem", "content")
-    return docs.select("doc_id", F.explode("replicas").alias("r")).select("doc_id", "r.start", "r.end", "r.speaker")
+    return _files(spark, d, line, "\n", head, "</text></doc>")
 
 
 def _placed(spark, d) -> DataFrame:
@@ -430,52 +441,64 @@ def _placed(spark, d) -> DataFrame:
 @query(f"WITH {PARSED}, s AS (SELECT *, {RUNNING} AS start FROM n) SELECT 'riqua/' || printf('%06d', conv_id) AS doc_id, start, CAST(start + length(said) AS INTEGER) AS \"end\", 'char_0' AS speaker FROM s")
 def brat_documents(spark, d):
     """Texts with standoff notes: each turn a quote, spoken by an entity at the first characters of the text."""
+    docs = docs_by(brat_files(spark, d), standoff.parse_brat, "stem", "content", "notes")
+    return docs.select("doc_id", F.explode("replicas").alias("r")).select("doc_id", "r.start", "r.end", "r.speaker")
+
+
+def brat_files(spark, d) -> DataFrame:
     rows = _placed(spark, d)
     quote = F.format_string("T%d\tQuote %d %d\tx", F.col("turn") + 10, "start", "stop")
     said = F.format_string("R%d\tSpeaker Arg1:T%d Arg2:T1", "turn", F.col("turn") + 10)
     each = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "said", quote.alias("q"), said.alias("r")))).alias("l"))
     notes = F.concat(F.lit("T1\tEntity 0 2\tx\n"), F.array_join(F.transform("l", lambda x: x["q"]), "\n"), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["r"]), "\n"))
-    files = each.select(F.format_string("%06d", "conv_id").alias("stem"), F.array_join(F.transform("l", lambda x: x["said"]), "\n").alias("content"), notes.alias("notes"))
-    docs = docs_by(files, standoff.parse_brat, "stem", "content", "notes")
-    return docs.select("doc_id", F.explode("replicas").alias("r")).select("doc_id", "r.start", "r.end", "r.speaker")
+    return each.select(F.format_string("%06d", "conv_id").alias("stem"), F.array_join(F.transform("l", lambda x: x["said"]), "\n").alias("content"), notes.alias("notes"))
 
 
 @query(f"WITH {PARSED}, s AS (SELECT *, {RUNNING} AS start FROM n) SELECT 'droc/' || printf('%06d', conv_id) AS doc_id, start, CAST(start + length(said) AS INTEGER) AS \"end\", 'char_' || turn AS speaker, CASE WHEN role = 'user' THEN 'thought' ELSE 'speech' END AS mode FROM s WHERE role <> 'system'")
 def xmi_documents(spark, d):
     """UIMA files: each turn with an entity of its own; what system says is of an unknown category."""
+    docs = docs_by(xmi_files(spark, d), markup.parse_xmi, "stem", "content")
+    return docs.select("doc_id", F.explode("replicas").alias("r")).select("doc_id", "r.start", "r.end", "r.speaker", "r.mode")
+
+
+def xmi_files(spark, d) -> DataFrame:
     rows = _placed(spark, d)
     kind = F.when(F.col("role") == "user", "thought").when(F.col("role") == "system", "name").otherwise("directspeech")
     xml = F.format_string('<type:NamedEntity xmi:id="%d" begin="0" end="1" Name="er" ID="%d"/><type:DirectSpeech begin="%d" end="%d" Speaker="%d" Category="%s"/>', F.col("turn") + 10, "turn", "start", "stop", F.col("turn") + 10, kind)
     each = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "said", xml.alias("x")))).alias("l"))
     head = '<xmi:XMI xmlns:type="urn:t" xmlns:cas="urn:c" xmlns:xmi="urn:x"><cas:Sofa sofaString="'
     text = F.array_join(F.transform("l", lambda x: _esc(x["said"])), "&#10;")
-    files = each.select(F.format_string("%06d", "conv_id").alias("stem"), F.concat(F.lit(head), text, F.lit('"/>'), F.array_join(F.transform("l", lambda x: x["x"]), ""), F.lit("</xmi:XMI>")).alias("content"))
-    docs = docs_by(files, markup.parse_xmi, "stem", "content")
-    return docs.select("doc_id", F.explode("replicas").alias("r")).select("doc_id", "r.start", "r.end", "r.speaker", "r.mode")
+    return each.select(F.format_string("%06d", "conv_id").alias("stem"), F.concat(F.lit(head), text, F.lit('"/>'), F.array_join(F.transform("l", lambda x: x["x"]), ""), F.lit("</xmi:XMI>")).alias("content"))
 
 
 @query(f"WITH {PARSED}, s AS (SELECT *, {RUNNING} AS start FROM n) SELECT 'pdnc/' || printf('%06d', conv_id) AS doc_id, start, CAST(start + length(said) AS INTEGER) AS \"end\", CASE role WHEN 'user' THEN 'char_0' WHEN 'assistant' THEN 'char_1' END AS speaker, CASE WHEN role = 'user' THEN 'explicit' END AS qtype FROM s")
 def novel_documents(spark, d):
+    docs = docs_by(novel_files(spark, d), standoff.parse_novel, "stem", "content", "people", "quotes")
+    return docs.select("doc_id", F.explode("replicas").alias("r")).select("doc_id", "r.start", "r.end", "r.speaker", "r.qtype")
+
+
+def novel_files(spark, d) -> DataFrame:
     rows = _placed(spark, d)
     kind = F.when(F.col("role") == "user", "Explicit").otherwise("Odd")
     row = F.format_string('"Q%d","%s","%s","[[%d, %d]]","[]","nan"', "turn", "role", kind, "start", "stop")
     each = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "said", row.alias("x")))).alias("l"))
     head = "quoteID,speaker,quoteType,quoteByteSpans,addressees,referringExpression\n"
     people = "Character ID,Main Name,Aliases,Gender,Category\n0,User,\"{'user', 'User'}\",F,major\n1,Assistant,\"['assistant']\",M,major\n"
-    files = each.select(F.format_string("%06d", "conv_id").alias("stem"), F.array_join(F.transform("l", lambda x: x["said"]), "\n").alias("content"), F.lit(people).alias("people"), F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["x"]), "\n")).alias("quotes"))
-    docs = docs_by(files, standoff.parse_novel, "stem", "content", "people", "quotes")
-    return docs.select("doc_id", F.explode("replicas").alias("r")).select("doc_id", "r.start", "r.end", "r.speaker", "r.qtype")
+    return each.select(F.format_string("%06d", "conv_id").alias("stem"), F.array_join(F.transform("l", lambda x: x["said"]), "\n").alias("content"), F.lit(people).alias("people"), F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["x"]), "\n")).alias("quotes"))
 
 
 @query(f"WITH {PARSED} SELECT printf('jy_quoteplus/%06d/%05d', conv_id, seq) AS doc_id, 1 AS start, CAST(1 + length(said) AS INTEGER) AS \"end\", 'char_0' AS speaker FROM n")
 def quote_json_documents(spark, d):
-    item = F.to_json(F.struct(F.col("said").alias("quote"), F.concat(F.lit("“"), "said", F.lit("”")).alias("context"), F.struct(F.col("role").alias("说话人-entity")).alias("labels")))
-    files = _files(spark, d, item, ",\n", "[", "]")
-    items = files.select("stem", F.posexplode(F.from_json("content", "array<string>")).alias("n", "item"))
+    items = quote_json_files(spark, d).select("stem", F.posexplode(F.from_json("content", "array<string>")).alias("n", "item"))
     docs = docs_by(items.select(F.format_string("jy_quoteplus/%s/%05d", "stem", "n").alias("doc_id"), "item"), standoff.parse_quote, "doc_id", "item")
     return docs.select("doc_id", F.explode("replicas").alias("r")).select("doc_id", "r.start", "r.end", "r.speaker")
 
 
+def quote_json_files(spark, d) -> DataFrame:
+    item = F.to_json(F.struct(F.col("said").alias("quote"), F.concat(F.lit("“"), "said", F.lit("”")).alias("context"), F.struct(F.col("role").alias("说话人-entity")).alias("labels")))
+    return _files(spark, d, item, ",\n", "[", "]")
+
+
 @query("SELECT conv_id, CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS confirmed, CAST(count(*) AS BIGINT) AS n, count(*) FILTER (role = 'assistant')::DOUBLE / count(*)::DOUBLE AS progress FROM conversations GROUP BY conv_id")
 def annotation_progress(spark, d):
     turns = read(spark, d, "conversations")
@@ -488,3 +511,4 @@ def grouping_report(spark, d):
     return read(spark, d, "documents").groupingSets([["source"], ["lang"], []], "source", "lang").agg(F.count("*").alias("n"))
 
 
+from causerie import catalogue_annotated, catalogue_files  # noqa: E402, F401  they add their queries

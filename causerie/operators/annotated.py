@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from causerie.operators import attribution, replicas
+from causerie.operators import attribution, replicas, speakers
 from causerie.operators.replicas import Said
-from causerie.operators.syntax import Sentences, Word
+from causerie.operators.syntax import SECOND, Sentences, Word
 from causerie.operators.tokens import ENDS, line_end
 from causerie.shipping import ship
 
@@ -56,7 +57,7 @@ def with_tails(ts: list[Word], said: list[Said]) -> list[Said]:
         if s.hi < len(ts) and ts[s.hi].hyphen and ts[s.hi - 1].text == "," and (n + 1 == len(said) or said[n + 1].lo > s.hi + 1):
             spoken_to = False
             for k in range(s.hi + 1, min(s.hi + 1 + TAIL, len(ts))):
-                spoken_to |= ts[k].person in ("Second", "2")
+                spoken_to |= ts[k].person in SECOND
                 if ts[k].newline:
                     break
                 if ts[k].hyphen and ts[k - 1].text[:1] in "?!" and spoken_to:
@@ -66,141 +67,74 @@ def with_tails(ts: list[Word], said: list[Said]) -> list[Said]:
     return out
 
 
-#: So many stretches of the author's words are searched for what a pronoun stands for.
-REGIONS = 4
-FIRST, SECOND = ("First", "1"), ("Second", "2")
-
-
-def stretches(doc: Sentences, said: list[Said], before: int) -> Iterator[tuple[int, int]]:
-    """The author's words before a word, between the lines, cut at ends of sentences: from the nearest upward."""
-    hi = before
-    for s in [*(s for s in reversed(said) if s.lo < before), None]:
-        lo = min(s.hi, hi) if s else 0
-        end = hi
-        for k in range(hi - 1, lo - 1, -1):
-            if k + 1 < end and (doc.words[k].text in SURE or doc.words[k].text[:1] in "?!"):
-                if any(w.word for w in doc.cut((k + 1, end))):
-                    yield k + 1, end
-                end = k + 1
-        if any(w.word for w in doc.cut((lo, end))):
-            yield lo, end
-        hi = s.lo if s else 0
-
-
-class Speakers:
-    """Finds and corrects speakers by syntax, for one document."""
-
-    def __init__(self, doc: Sentences, said: list[Said]) -> None:
-        self.doc, self.said = doc, said
-        self.roots: dict[str, int] = {}
-
-    def shown(self, i: int) -> str:
-        """The phrase of a speaker; a name without a noun stands alone, in the nominative if the document has it so."""
-        words = self.doc.cut(self.doc.wide_chunk(i))
-        names = [w for w in words if w.named]
-        if names and not any(w.pos == "NOUN" for w in words):
-            text = " ".join(w.text if not w.oblique else self.nominative(w) for w in names)
-        else:
-            text = " ".join(w.text for w in words)
-        self.roots.setdefault(text, i)
-        return text
-
-    def nominative(self, name: Word) -> str:
-        """By lemma, then by stem; the nearest."""
-        same = [w for w in self.doc.words if w.nominative and w.lemma == name.lemma]
-        same = same or [w for w in self.doc.words if w.nominative and w.named and len(name.text) > 3 and w.text.startswith(name.text[:-1])]
-        return min(same, key=lambda w: abs(w.i - name.i)).text if same else name.text
-
-    def word(self, actor: str | None) -> Word | None:
-        return self.doc.words[self.roots[actor]] if actor in self.roots else None
-
-    def named(self, actor: str | None) -> bool:
-        w = self.word(actor)
-        return w is not None and any(x.named for x in self.doc.cut(self.doc.chunk(w.i)))
-
-    def recent(self, i: int, play: attribution.Play) -> str | None:
-        """The latest speaker that agrees with a reference, names first."""
-        known = [a for _, a in reversed(play.lines) if (w := self.word(a)) is not None and not w.reference]
-        fit = [a for a in dict.fromkeys(known) if self.doc.aligned(i, self.roots[a])]
-        return next((a for a in fit if self.named(a)), fit[0] if fit else None)
-
-    def antecedent(self, i: int) -> str | None:
-        """What a reference stands for in the stretches above it: a name in the nominative, any name, an animate noun, in this order within each stretch."""
-        doc = self.doc
-        for n, (lo, hi) in enumerate(stretches(doc, self.said, i)):
-            if n == REGIONS:
-                break
-            fit = [w for w in reversed(doc.cut((lo, min(hi, i)))) if w.pos in ("PROPN", "NOUN", "ADJ") and not w.reference and doc.aligned(i, w.i)]
-            for test in (lambda w: w.named and not w.oblique, lambda w: w.named, lambda w: not w.oblique and ((w.pos == "NOUN" and w.morph.get("Animacy") == "Anim") or (w.pos == "ADJ" and w.title))):
-                if found := next((w for w in fit if test(w)), None):
-                    return self.shown(found.i)
-        return None
-
-    def find(self, ts: list[Word], lo: int, hi: int, said: Said, play: attribution.Play) -> str | None:
-        """The best candidate of the clauses in the author's words [lo, hi), subjects of speech verbs first."""
-        doc, line = self.doc, (said.lo, said.hi)
-        verbs = doc.top_verbs((lo, hi), line)
-        spoken = [k for v in verbs if doc.words[v].speech for k in doc.candidates(v, line) if lo <= k < hi and doc.words[k].subject]
-        found = spoken or [k for v in verbs for k in doc.candidates(v, line) if lo <= k < hi]
-        if len(found) > 1:
-            found = [k for k in found if not doc.words[k].reflexive] or found
-        heads = [w for w in doc.cut((lo, hi)) if w.dep == "ROOT"]
-        if not spoken and heads and all(w.morph.get("Gender") == "Neut" for w in heads):
-            return None
-        best = doc.best(found)
-        if best is None:
-            return None
-        w = doc.words[best]
-        if w.reference or w.pronoun_like:
-            return self.recent(best, play) or self.antecedent(best) or (None if w.oblique else self.shown(best))
-        if doc.inanimate(doc.chunk(best)) and not w.named and not spoken:
-            return None
-        return self.shown(best)
-
-    def adjust(self, k: int, said: list[Said], play: attribution.Play, actor: str | None, rule: str) -> tuple[str | None, str]:
-        if not k:
-            return actor, rule
-        doc, prev, cur = self.doc, (said[k - 1].lo, said[k - 1].hi), (said[k].lo, said[k].hi)
-        last, penult = play.last, play.penult
-        me = any(doc.has_person(cur, p) for p in FIRST)
-        you = any(doc.has_person(prev, p) for p in SECOND)
-        if rule == "alternation":
-            between = (prev[1], cur[0])
-            if doc.imperative(cur) and doc.imperative(prev) and last is not None:
-                return last, "imperatives"
-            w = self.word(penult)
-            key = doc.key(doc.chunk(w.i)) if w else ""
-            if key and not any(x.speech for x in doc.cut(between)) and any(doc.key(doc.chunk(x.i)) == key for x in doc.cut(between) if x.word):
-                return last, "other_named"
-            if me and you and w is not None and doc.vague(doc.chunk(w.i)):
-                name = next((a for _, a in reversed(play.lines) if self.named(a)), None)
-                if name is not None and name != last:
-                    return name, "named_before_vague"
-        elif rule in ("named_after", "named_inside"):
-            if me and you and self.named(penult) and penult != last and not self.named(actor):
-                return penult, "answer"
-        elif rule == "line_above" and penult is not None and (w := self.word(actor)) is not None and doc.collective(doc.chunk(w.i)):
-            return penult, "not_collective"
-        elif rule == "last" and said[k].tag in (replicas.ENDING, replicas.INSERTION) and penult is not None:
-            return penult, "penult"
-        return actor, rule
-
-
 def rows_of(key: str, t: pa.Table) -> list[dict]:
     words = words_of(t)
     doc = Sentences(words)
-    said = with_tails(words, replicas.extract(words, noted(doc)))
-    speakers = Speakers(doc, said)
-    told = attribution.attribute(words, said, speakers.find, speakers.adjust)
-
-    def text(lo: int, hi: int) -> str:
-        parts, at = [], words[lo].start
-        for w in words[lo:hi]:
-            parts += [" " * (w.start > at), w.text]
-            at = w.end
-        return "".join(parts)
-
-    return [{"doc_id": key, "seq": n, "start": words[s.lo].start, "end": words[s.hi - 1].end, "replica": text(s.lo, s.hi), "actor": a, "rule": r} for n, (s, a, r) in enumerate(told)]
+    told = speakers.Fold(doc, with_tails(words, replicas.extract(words, noted(doc))))()
+    return [{"doc_id": key, "seq": n, "start": words[s.lo].start, "end": words[s.hi - 1].end, "replica": doc.shown((s.lo, s.hi)), "actor": doc.shown(a) if a else None, "rule": r} for n, (s, a, r) in enumerate(told)]
+
+
+PHRASES = "doc_id string, i int, sentence int, chunk string, phrase string, key string, gender string, person boolean, reference boolean, vague boolean, indefinite boolean, generic boolean, collective boolean, inanimate boolean, named boolean"
+NOTED = "doc_id string, i int, pattern string, note string, by_author boolean"
+DOERS = "doc_id string, sentence int, verb int, candidate int, score int, best boolean"
+#: Arrow's types of the columns above.
+_TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def _by_document(tokens: DataFrame, schema: str, f: Callable[[Sentences], Iterable[tuple]]) -> DataFrame:
+    """Rows that f makes of each annotated document. One shuffle by doc_id."""
+    ship(tokens.sparkSession)
+    fields = [c.split() for c in schema.split(", ")]
+    arrow = pa.schema([(n, _TYPES[k]) for n, k in fields])
+
+    def fold(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        rows = list(f(Sentences(words_of(t))))
+        cols = list(zip(*rows)) or [()] * (len(fields) - 1)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(rows), pa.string()), *(pa.array(c, x.type) for c, x in zip(cols, list(arrow)[1:]))], schema=arrow)
+
+    return tokens.groupBy("doc_id").applyInArrow(fold, schema)
+
+
+def phrases(tokens: DataFrame) -> DataFrame:
+    """A row a word with the number of its sentence, its noun phrase (chunk), the whole phrase by which somebody is shown, and what that tells; see Sentences."""
+
+    def rows(doc: Sentences) -> Iterator[tuple]:
+        for w in doc.words:
+            if w.word:
+                p, s = doc.phrase(w.i), bisect_right(doc.sentences, w.i)
+                told = (doc.human(p), doc.refers(p), doc.vague(p), doc.indefinite(p), doc.generic(p), doc.collective(p), doc.inanimate(p), doc.named(p))
+                yield w.i, s, doc.shown(doc.chunk(w.i)), doc.shown(p), doc.key(p), doc.gender(doc.chunk(w.i)), *told
+
+    return _by_document(tokens, PHRASES, rows)
+
+
+def notes(tokens: DataFrame) -> DataFrame:
+    """A row a hyphen after a mark from which one of the patterns of notes fits: the pattern's kind, the note without marks at its ends, and whether it tells of who speaks."""
+
+    def rows(doc: Sentences) -> Iterator[tuple]:
+        for w in doc.words[1:]:
+            if w.hyphen and doc.words[w.i - 1].breaks:
+                end = doc.on_to_line_end(w.i) + 1
+                for kind, m in (("insertion", doc.insertion(w.i - 1, end)), ("ending", doc.ending(w.i - 1, end))):
+                    if m:
+                        lo, hi = doc.trimmed((w.i + 1, m[1]))
+                        yield w.i, kind, doc.shown((lo, hi)) if lo < hi else "", doc.authors_note((w.i + 1, m[1]))
+
+    return _by_document(tokens, NOTED, rows)
+
+
+def candidates(tokens: DataFrame) -> DataFrame:
+    """A row a word that may be the one who acts, by sentence and verb, with its score among those of the sentence."""
+
+    def rows(doc: Sentences) -> Iterator[tuple]:
+        for n, lo in enumerate(doc.sentences):
+            found = [(v, k) for v in doc.top_verbs(doc.sentence(lo), (0, 0)) for k in doc.candidates(v, (0, 0))]
+            words = [k for _, k in found]
+            any_human, best = any(doc.human(doc.phrase(k)) for k in words), doc.best(words)
+            for v, k in found:
+                yield n + 1, v, k, doc.score(k, any_human), k == best
+
+    return _by_document(tokens, DOERS, rows)
 
 
 def lines(tokens: DataFrame) -> DataFrame:

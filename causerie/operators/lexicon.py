@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 NEUTRAL = "сказа говор молви произн вымолв сообщ заяв объяв добав продолж заключ замет нача повтор уточн поясн объясн напомн подтверд обрат провозгла выгов".split()
 REPLY = "ответ отвеч возраз соглас откликн отозв отклик парир отрез поддакн отказ призна".split()
 ASK = "спрос спраш вопрош осведом поинтерес попрос прос умол потребов".split()
@@ -14,3 +17,12 @@ ME_OR_YOU = frozenset("я меня мне мной мы нас нам нами 
 
 def speaks(word: str) -> bool:
     return word.startswith(STEMS)
+
+
+_WITHIN = re.compile("|".join(STEMS))
+
+
+@lru_cache(100_000)
+def of_speech(lemma: str) -> bool:
+    """A stem anywhere in a lemma, so that verbs with a prefix count too."""
+    return _WITHIN.search(lemma) is not None

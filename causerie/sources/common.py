@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,26 @@ def whole_files(spark: SparkSession, path: str, glob: str, recursive: bool = Tru
     return found.where(~F.col("path").contains("/raw/")).withColumn("stem", F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"\.[^.]*$", ""))
 
 
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write (name, content) rows as files of a folder, UTF-8; names may have folders in them. A file gets its name when it is whole, so a task run twice does no harm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for b in batches:
+            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist()):
+                to = f"{root}/{name}"
+                fs.create_dir(posixpath.dirname(to), recursive=True)
+                tmp = f"{to}.{uuid.uuid4().hex}.tmp"
+                with fs.open_output_stream(tmp, compression=None) as out:
+                    out.write((content or "").encode())
+                if fs.get_file_info(to).type != pafs.FileType.NotFound:
+                    fs.delete_file(to)
+                fs.move(tmp, to)
+            yield pa.RecordBatch.from_arrays([b.column("name")], ["name"])
+
+    files.select("name", "content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
 def docs_by(df: DataFrame, f: Callable[..., dict | None], *columns: str) -> DataFrame:
     """Interchange documents, one a row of df for which f gives one, in Arrow batches. Only the named columns are sent to Python."""
     ship(df.sparkSession)

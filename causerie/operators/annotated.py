@@ -20,10 +20,13 @@ TAIL = 15
 
 
 def words_of(t: pa.Table) -> list[Word]:
+    """Words in order of i; rows without a text are left out, and heads that aren't there are the word itself."""
     line, out = 1, []
-    for r in sorted(t.to_pylist(), key=lambda r: r["i"]):
+    rows = sorted((r for r in t.to_pylist() if r["text"] and r["i"] is not None), key=lambda r: r["i"])
+    at = {r["i"]: n for n, r in enumerate(rows)}
+    for n, r in enumerate(rows):
         morph = r["morph"]
-        out.append(Word(len(out), r["start"], r["end"], r["text"], bool(r["newline"]), r["lemma"] or r["text"].lower(), r["pos"] or "X", r["dep"] or "dep", len(out) if r["head"] is None else r["head"], dict(morph) if morph else {}, r["ent"], line))
+        out.append(Word(n, r["start"], r["end"], r["text"], bool(r["newline"]), r["lemma"] or r["text"].lower(), r["pos"] or "X", r["dep"] or "dep", at.get(r["head"], n), dict(morph) if morph else {}, r["ent"], line))
         line += out[-1].newline
     return out
 
@@ -113,7 +116,7 @@ def notes(tokens: DataFrame) -> DataFrame:
 
     def rows(doc: Sentences) -> Iterator[tuple]:
         for w in doc.words[1:]:
-            if w.hyphen and doc.words[w.i - 1].breaks:
+            if w.hyphen and doc.words[w.i - 1].breaks and not doc.words[w.i - 1].newline:
                 end = doc.on_to_line_end(w.i) + 1
                 for kind, m in (("insertion", doc.insertion(w.i - 1, end)), ("ending", doc.ending(w.i - 1, end))):
                     if m:

@@ -65,7 +65,11 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     c.add_argument("--out", required=True)
     c.add_argument("--split", choices=["all", "tune", "heldout"], default="all")
     for name in ("stats", "audit", "payload", "play"):
-        commands.add_parser(name).add_argument("path")
+        p = commands.add_parser(name)
+        p.add_argument("path")
+        if name == "play":
+            p.add_argument("--marked", action="store_true", help="print the text with the lines marked, too")
+            p.add_argument("--plain", action="store_true", help="no colours")
     a = parser.parse_args(args)
     if a.command == "eval" and a.errors and held_out(a.paths) and not a.unblind:
         print("errors of held-out texts are not shown", file=sys.stderr)
@@ -86,7 +90,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
                 whole = evaluation.micro(counted).first().asDict()
                 print(json.dumps({"path": path, "files": [r.asDict() for r in counted.collect()], **whole}, ensure_ascii=False))
             else:
-                for r in evaluation.report(counted, key).collect():
+                for r in sorted(evaluation.report(counted, key).collect(), key=lambda r: (r[key] is None, r[key] or "")):
                     print(r[key] or "all", r["line"])
                 for r in evaluation.by_qtype(pairs).collect():
                     print(r["qtype"], r["n_gold"], r["n_matched"], r["n_correct"])
@@ -98,7 +102,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
         docs = quality.keep_split(reader(a.source)(spark, a.path), a.split)
         for r in quality.validate(docs).collect():
             print(*r, file=sys.stderr)
-        jsonl.write(docs, a.out)
+        print(jsonl.write(docs, a.out), "documents")
         return 0
     if a.command == "stats":
         for r in quality.corpus_stats(jsonl.read(spark, a.path)).collect():
@@ -107,20 +111,18 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     if a.command == "audit":
         issues, wrong, verdict = audit_files(spark, a.path)
         v = verdict.first()
-        print("CLEAN" if v.clean else "BLOCKED", v.n_issues, v.n_high, v.n_low)
-        for r in [*issues.collect()]:
-            print(*r)
-        for r in evaluation.audit_lines(wrong, v.n_issues).orderBy("n").collect():
-            print(r.line)
+        print(evaluation.audit_report(v, issues.orderBy("doc_id", "rule", "at").collect(), evaluation.audit_lines(wrong).orderBy("low", "path", "seq").collect()), end="")
         return 0 if v.clean else 1
-    content = whole_files(spark, a.path, "*", False).first().content
-    text = content.split(annotation.DASHES)[0]
-    if a.command == "payload":
-        gold = [(p[0], p[2]) for line in content.split(annotation.DASHES)[1:2] for x in line.strip().splitlines() if (p := x.partition("::"))[1]]
-        print(json.dumps(annotation.payload(text.strip(), gold), ensure_ascii=False))
-    else:
-        for r in attribution.rows_of("", text):
-            print(f"{r['actor'] or '-':<24}{r['replica']}")
+    for r in whole_files(spark, a.path, "*", False).orderBy("path").toLocalIterator():
+        if a.command == "payload":
+            text, gold = annotation.source_text(r.content)
+            print(json.dumps(annotation.payload(text, gold), ensure_ascii=False))
+        else:
+            text = r.content.split(annotation.DASHES)[0]
+            rows = attribution.rows_of("", text)
+            if a.marked:
+                print(annotation.marked(text, rows))
+            print(annotation.table(rows, not a.plain), end="")
     return 0
 
 

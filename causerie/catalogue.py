@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causerie.functions import text as tx
-from causerie.operators import attribution, evaluation, quality, replicas, sequences, tokens
+from causerie.operators import annotation, attribution, evaluation, quality, replicas, sequences, tokens
 from causerie.plans import plays
 from causerie.shipping import new_path, ship
 from causerie.sources import jsonl, markup, native, standoff
@@ -238,7 +238,8 @@ def dedupe_ordered(spark, d):
 
 @query("SELECT md5(text) AS id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1 ORDER BY 1")
 def duplicate_ids(spark, d):
-    return read(spark, d, "documents").groupBy(F.md5("text").alias("id")).agg(F.count("*").alias("n")).where("n > 1").orderBy("id")
+    """Texts that several documents have, by their digest."""
+    return quality.repeated(read(spark, d, "documents").select(F.md5("text").alias("id")), "id")
 
 
 COUNTED = """
@@ -499,11 +500,10 @@ def quote_json_files(spark, d) -> DataFrame:
     return _files(spark, d, item, ",\n", "[", "]")
 
 
-@query("SELECT conv_id, CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS confirmed, CAST(count(*) AS BIGINT) AS n, count(*) FILTER (role = 'assistant')::DOUBLE / count(*)::DOUBLE AS progress FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) FILTER (role IN ('assistant', 'system')) AS confirmed, count(*) AS n, count(*) FILTER (role IN ('assistant', 'system'))::DOUBLE / count(*)::DOUBLE AS progress FROM conversations GROUP BY conv_id")
 def annotation_progress(spark, d):
-    turns = read(spark, d, "conversations")
-    done = F.count_if(F.col("role") == "assistant")
-    return turns.groupBy("conv_id").agg(done.alias("confirmed"), F.count("*").alias("n")).withColumn("progress", tx.ratio(F.col("confirmed"), F.col("n")))
+    """Turns of one role are confirmed, those of another bogus."""
+    return annotation.progress(read(spark, d, "conversations"), "conv_id", F.col("role") == "assistant", F.col("role") == "system")
 
 
 @query("SELECT source, lang, count(*) AS n FROM documents GROUP BY GROUPING SETS ((source), (lang), ()) ")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from causerie import catalogue as c
 from causerie.catalogue import LAYOUT, PARSED, RUNNING, SAID, SQL, query, read
 from causerie.functions import text as tx
-from causerie.operators import attribution, evaluation, quality, replicas, sequences, spans, tokens
+from causerie.operators import annotation, attribution, evaluation, quality, replicas, sequences, spans, tokens
 from causerie.plans import plays
 from causerie.shipping import new_path
 from causerie.sources import native
@@ -274,3 +274,61 @@ def text_offsets(spark, d):
     turns = read(spark, d, "conversations").withColumn("said", tx.collapse(F.col("text"))).where("said <> ''")
     out = sequences.offsets(turns, "conv_id", ["turn"], F.char_length("said"))
     return out.select("conv_id", "turn", F.col("start").cast("int").alias("start"), (F.col("start") + F.char_length("said")).cast("int").alias("end"))
+
+
+@query(f"WITH {_SPOKEN} SELECT CAST(conv_id AS VARCHAR) AS doc_id, seq, CASE WHEN seq % 2 = 0 THEN 'Анна' ELSE 'Пётр' END AS actor, CAST(seq % 2 AS INTEGER) AS colour FROM n")
+def play_colours(spark, d):
+    """Speakers of lines with their colours, by order of appearance."""
+    docs = _prose(_spoken(spark, d)).select(F.col("conv_id").cast("string").alias("doc_id"), "text")
+    return annotation.coloured(attribution.lines(docs)).select("doc_id", "seq", "actor", "colour")
+
+
+@query(f"WITH {_SPOKEN}, {_MATCHED} SELECT CASE WHEN GROUPING(conv_id) = 0 THEN printf('%06d', conv_id) END AS stem, count(*) AS n_gold, count(*) FILTER (gold = pred) AS n_correct, printf('gold %d, predicted %d, matched %d, right %d: precision  100.0%% recall  100.0%% attribution %6.1f%% end_to_end %6.1f%%', count(*), count(*), count(*), count(*) FILTER (gold = pred), 100.0 * count(*) FILTER (gold = pred) / count(*), 100.0 * count(*) FILTER (gold = pred) / count(*)) AS line FROM e GROUP BY ROLLUP (conv_id)")
+def eval_report(spark, d):
+    """A line of figures for each annotated file, and one for all."""
+    from causerie.__main__ import evaluate_files
+
+    told = evaluation.report(evaluation.counters(evaluate_files(native.sections(_annotated_files(spark, d))), "path"), "path")
+    return told.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).alias("stem"), F.col("n_gold").cast("bigint").alias("n_gold"), F.col("n_correct").cast("bigint").alias("n_correct"), "line")
+
+
+@query(f"WITH {_SPOKEN}, {_MATCHED} SELECT printf('%06d', conv_id) AS stem, seq, '- [HIGH] gold ' || gold || ', predicted ' || pred || ': ' || substr(said || CASE WHEN seq < 2 THEN ',' ELSE '.' END, 1, 80) AS line FROM e WHERE gold <> pred")
+def audit_lines(spark, d):
+    """Lines of an audit, without the paths in them."""
+    from causerie.__main__ import evaluate_files
+
+    told = evaluation.audit_lines(evaluation.errors(evaluate_files(native.sections(_annotated_files(spark, d))), "path"))
+    return told.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).alias("stem"), "seq", F.regexp_replace("line", r"\] \S+: gold", "] gold").alias("line"))
+
+
+@query(f"SELECT printf('%06d.txt', conv_id) AS name FROM conversations WHERE {SAID} <> '' GROUP BY conv_id")
+def file_discovery(spark, d):
+    """Text files of a folder and those below it, without those in raw."""
+    from causerie.sources.common import find_files
+
+    files = c.native_files(spark, d)
+    named = files.select(F.concat(F.when(F.col("stem").cast("int") % 2 == 0, "even/").otherwise(""), "stem", F.lit(".txt")).alias("name"), "content")
+    folder = new_path(spark, "discovery")
+    write_files(named.unionByName(named.select(F.concat(F.lit("raw/"), "name").alias("name"), "content")).unionByName(named.select(F.concat("name", F.lit(".md")).alias("name"), "content")), folder)
+    return find_files(spark, folder, "*.txt").select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
+
+
+@query("SELECT doc_id, md5(replace(text, chr(10), ' ')) AS flat, CAST(length(text) AS INTEGER) AS size, CAST(length(text) - length(replace(text, chr(10), '')) AS INTEGER) AS breaks FROM documents WHERE text IS NOT NULL")
+def flat_texts(spark, d):
+    """Texts as an annotator gets them: of the same length, breaks as spaces."""
+    docs = read(spark, d, "documents").where("text IS NOT NULL").withColumn("t", tx.flat(F.col("text")))
+    return docs.select("doc_id", F.md5("t").alias("flat"), F.char_length("t").alias("size"), F.regexp_count("text", F.lit("\n")).alias("breaks"))
+
+
+@query(f"WITH {_TOKENS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) FILTER (is_hyphen) AS n_hyphens, count(*) FILTER (length(t) = 1 AND strpos('«\"“„‘‚‹''「『＂', t) > 0) AS n_open, count(*) FILTER (length(t) = 1 AND strpos('»\"”“’‘›''」』＂', t) > 0) AS n_close FROM p GROUP BY doc_id")
+def token_marks(spark, d):
+    """Hyphens and quotes, which may be open and close at once."""
+    found = tokens.tokens(read(spark, d, "documents").select("doc_id", "text"), "is_hyphen", "opens", "closes")
+    return found.groupBy("doc_id").agg(F.count_if("is_hyphen").alias("n_hyphens"), F.count_if("opens").alias("n_open"), F.count_if("closes").alias("n_close"))
+
+
+@query(f"WITH {_SPOKEN} SELECT CAST(conv_id AS VARCHAR) AS doc_id, list_transform(range(0, CASE WHEN count(*) > 1 THEN 2 ELSE 1 END), lambda k: (['анна', 'пётр'])[k + 1]) AS palette, CAST(count(*) AS INTEGER) AS n FROM n GROUP BY conv_id")
+def payload_palettes(spark, d):
+    """Names to choose from and the number of lines, in the payload of an annotator's page."""
+    docs = _prose(_spoken(spark, d)).select(F.col("conv_id").cast("string").alias("doc_id"), "text")
+    return annotation.payloads(docs).select("doc_id", "palette", F.size("replicas").alias("n"))

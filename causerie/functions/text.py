@@ -77,3 +77,18 @@ def span_ok(start: Column, end: Column, size: Column) -> Column:
 
 def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
+
+
+def merge_nested(into: dict, other: dict) -> dict:
+    """other merged into into, which is changed and returned: maps within maps are merged, anything else is replaced."""
+    for key, value in other.items():
+        if isinstance(value, dict) and isinstance(into.get(key), dict):
+            merge_nested(into[key], value)
+        else:
+            into[key] = value
+    return into
+
+
+def flat(text: Column) -> Column:
+    """Line breaks as spaces, so that offsets stay."""
+    return F.translate(text, "\n", " ")

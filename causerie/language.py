@@ -5,14 +5,15 @@ from __future__ import annotations
 import importlib.util
 import os
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causerie.operators import annotated, attribution, replicas
+from causerie.operators.spans import sentences
 from causerie.operators.syntax import TOKENS
 from causerie.shipping import ship
 
@@ -89,3 +90,15 @@ def corrected(tokens: DataFrame, forced: dict[str, str]) -> DataFrame:
 
 
 _ARROW = pa.schema([("doc_id", pa.string()), ("i", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("newline", pa.bool_()), ("lemma", pa.string()), ("pos", pa.string()), ("dep", pa.string()), ("head", pa.int32()), ("morph", pa.map_(pa.string(), pa.string())), ("ent", pa.string())])
+
+
+#: Surface forms that the annotator takes for nouns.
+MISREAD = {"шепчет": "VERB"}
+
+
+def annotated_tokens(docs: DataFrame, size: str | None = None, annotator: Callable[[DataFrame], DataFrame] | None = None, forced: dict[str, str] | None = None) -> DataFrame:
+    """Tokens of docs by the whole chain: the annotator (spaCy by default), lines, sentences, then corrections. Columns line_no and sentence come in addition."""
+    found = annotator(docs) if annotator else annotate(docs, size)
+    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    lined = found.withColumn("line_no", (1 + F.coalesce(F.sum(F.col("newline").cast("int")).over(w), F.lit(0))).cast("int"))
+    return corrected(sentences(lined), MISREAD if forced is None else forced)

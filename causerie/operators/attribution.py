@@ -133,6 +133,6 @@ def lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [r for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for r in rows_of(key, text or "")]
-            yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in ARROW], schema=ARROW)
 
     return docs.selectExpr("cast(doc_id AS string) AS doc_id", "text").mapInArrow(run, SCHEMA)

@@ -53,6 +53,11 @@ def validate(docs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [about, of_replicas, of_mentions])
 
 
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """(key, n) of keys that more than one row has, in their order."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").orderBy(key)
+
+
 def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.groupBy("source", "lang", "domain").agg(F.count("*").alias("docs"), F.sum(F.coalesce(F.array_size("replicas"), F.lit(0))).alias("replicas"), F.sum(F.coalesce(F.array_size("characters"), F.lit(0))).alias("characters")).orderBy("source", "lang", "domain")
 

@@ -17,6 +17,12 @@ from causerie.schema import DOC, DOC_ARROW
 from causerie.shipping import ship
 
 
+def find_files(spark: SparkSession, path: str, glob: str, recursive: bool = True) -> DataFrame:
+    """(path, length) of files in the order of their paths, without those in a folder named raw. Their content isn't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(path)
+    return files.select("path", "length").where(~F.col("path").contains("/raw/")).orderBy("path")
+
+
 def whole_files(spark: SparkSession, path: str, glob: str, recursive: bool = True) -> DataFrame:
     """(path, stem, content) of each file, newlines as LF, without those in a folder named raw."""
     files = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).text(path, wholetext=True)

@@ -84,7 +84,7 @@ def test_counters_and_zero_denominators(spark):
     assert evaluation.micro(evaluation.counters(pairs, "path").where("path = 'g'")).first().precision is None
     assert [(r.qtype, r.n_gold, r.n_matched, r.precision) for r in evaluation.by_qtype(pairs).collect()] == [("explicit", 1, 1, None), ("implicit", 1, 0, None)]
     lines = {r.path: r.line for r in evaluation.report(evaluation.counters(pairs, "path"), "path").collect()}
-    assert "—" in lines["g"] and lines[None].endswith("3 gold")
+    assert "—" in lines["g"] and lines[None].startswith("gold 3, predicted 3, matched 2, right 1:") and lines[None].endswith("33.3%")
 
 
 def test_locate(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import warnings
+from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from causerie.sources.common import character, collapsed, docs_by, document, rep
 
 DASHES = "-" * 20
 E_FOR_YO = {ord("ё"): "е"}
+SPACES, WIDE = re.compile(r"\s+"), re.compile(r"\s{2,}")
 
 
 def sections(files: DataFrame, content: str = "content") -> DataFrame:
@@ -54,10 +56,35 @@ def serialize(text: Column, pairs: Column, aliases: Column | None = None) -> Col
     return F.concat(whole, F.lit("\n"))
 
 
-def find_words(text: str, needle: str, at: int):
+class Spaced:
+    """A text with every run of white space as one space, by which words are found whatever is between them; offsets are those of the text itself."""
+
+    def __init__(self, text: str) -> None:
+        self.size, self.one, self.at = len(text), SPACES.sub(" ", text), 0
+        self._after, self._lost, lost = [0], [0], 0
+        for m in WIDE.finditer(text):
+            self._after.append(m.start() - lost + 1)
+            lost += m.end() - m.start() - 1
+            self._lost.append(lost)
+
+    def place(self, i: int) -> int:
+        return i + self._lost[bisect_right(self._after, i) - 1]
+
+    def find(self, needle: str) -> tuple[int, int] | None:
+        """The first place of needle's words from where the last one found ended; nothing moves if there is none."""
+        words = " ".join(needle.split())
+        i = self.one.find(words, self.at)
+        if i < 0:
+            return None
+        start = min(self.place(i), self.size)
+        self.at = i + len(words)
+        return start, self.place(self.at - 1) + 1 if words else start
+
+
+def find_words(text: str, needle: str, at: int = 0) -> tuple[int, int] | None:
     """Where the words of needle stand in text from at on, whatever white space is between them."""
-    found = re.compile(r"\s+".join(map(re.escape, needle.split()))).search(text, at)
-    return found and found.span()
+    found = Spaced(text[at:]).find(needle)
+    return found and (found[0] + at, found[1] + at)
 
 
 def to_doc(stem: str, text: str, pairs, aliases) -> dict:
@@ -71,12 +98,11 @@ def to_doc(stem: str, text: str, pairs, aliases) -> dict:
     for name in [*others, *(key(p["actor"]) for p in pairs)]:
         if name != NOBODY:
             ids.setdefault(name, f"char_{len(ids)}")
-    at, replicas = 0, []
+    spaced, replicas = Spaced(text), []
     for p in pairs:
-        if (span := find_words(text, p["replica"], at)) is None:
+        if (span := spaced.find(p["replica"])) is None:
             warnings.warn(f"{stem}: not found: {p['replica'][:60]}", stacklevel=1)
             continue
-        at = span[1]
         replicas.append(replica(*span, ids.get(key(p["actor"]))))
     people = [character(i, name, sorted(a for a in others.get(name, []) if a != name)) for name, i in ids.items()]
     return document(f"native/{stem}", "ru", "prose", "native", "annotator-owned", text, replicas, people, [])

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +124,8 @@ def locate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, at): first offset of each text b of items (item_id, b) in each text t of docs (doc_id, t), both with single spaces.
 
     A word inside an item, between two others, is a whole word wherever the item is found. The longest one is the key of an equality join with the
-    documents' distinct words, so only documents that hold it are searched; items of one or two words have no such word and are tried on every document.
+    documents' distinct words, so only documents that hold it are searched. Items of one or two words have no such word: they are put into automata of a bounded size, and
+    each document is read once for each automaton, which finds all of its items together. Empty items are nowhere.
     """
     split = items.withColumn("_w", F.split("b", " "))
     inner = F.transform(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))
@@ -131,5 +133,67 @@ def locate(docs: DataFrame, items: DataFrame) -> DataFrame:
     words = docs.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("_key"))
     at = find(F.col("t"), F.col("b"), F.lit(0), F.char_length("t")).cast("int").alias("at")
     long = words.join(keyed.where("_key IS NOT NULL"), "_key").select("doc_id", "item_id", at)
-    short = docs.join(keyed.where("_key IS NULL"), F.contains("t", "b")).select("doc_id", "item_id", at)
-    return long.unionByName(short).where("at IS NOT NULL")
+    parts = [long, *(_by_automaton(docs, few) for few in _groups(keyed.where("_key IS NULL AND b <> ''").select("item_id", "b")))]
+    return reduce(DataFrame.unionByName, parts).where("at IS NOT NULL")
+
+
+#: Characters of the items that are searched for together.
+AUTOMATON_CHARS = 4 << 20
+
+
+def _groups(items: DataFrame) -> Iterator[list[tuple]]:
+    """Items in lists of about AUTOMATON_CHARS characters each, one at a time on the driver."""
+    few, size = [], 0
+    for r in items.toLocalIterator():
+        few.append((r["item_id"], r["b"]))
+        size += len(r["b"])
+        if size >= AUTOMATON_CHARS:
+            yield few
+            few, size = [], 0
+    if few:
+        yield few
+
+
+def _finder(few: list[tuple]) -> Callable[[str], dict[int, int]]:
+    """Positions in few of the items found in a text, with their first offsets."""
+    at: dict[str, list[int]] = {}
+    for n, (_, said) in enumerate(few):
+        at.setdefault(said, []).append(n)
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: {n: i for said, ns in at.items() if (i := text.find(said)) >= 0 for n in ns}
+    tree = ahocorasick.Automaton()
+    for said in at:
+        tree.add_word(said, said)
+    tree.make_automaton()
+
+    def find_all(text: str) -> dict[int, int]:
+        first: dict[str, int] = {}
+        for end, said in tree.iter(text):
+            first.setdefault(said, end - len(said) + 1)
+        return {n: i for said, i in first.items() for n in at[said]}
+
+    return find_all
+
+
+def _by_automaton(docs: DataFrame, few: list[tuple]) -> DataFrame:
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(few)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _finder(shared.value)
+        for b in batches:
+            rows, number, place = [], [], []
+            for k, text in enumerate(b.column("t").to_pylist()):
+                for n, i in search(text).items() if text else ():
+                    rows.append(k)
+                    number.append(n)
+                    place.append(i)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array([shared.value[n][0] for n in number], kinds["item_id"]), pa.array(place, pa.int32())], ["doc_id", "item_id", "at"])
+
+    ids = pa.array([i for i, _ in few])
+    kinds = {"item_id": ids.type}
+    item = "bigint" if pa.types.is_integer(ids.type) else "string"
+    return docs.select("doc_id", "t").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {item}, at int")

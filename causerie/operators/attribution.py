@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from causerie.operators.lexicon import speaks
 from causerie.operators.replicas import ALTERNATION, ENDING, INSERTION, STARTING, Said, extract
-from causerie.operators.tokens import Token, line_end, line_start, tokenize
+from causerie.operators.tokens import Token, fills_line, line_end, line_start, parenthesized, tokenize
 from causerie.shipping import ship
 
 PRONOUNS = frozenset("он она оно они тот та те кто".split())
@@ -83,22 +83,25 @@ def attribute(ts: list, said: list[Said], find: Callable = by_spelling, adjust:
         prev = said[k - 1] if k else None
         after = said[k + 1] if k + 1 < len(said) else None
         begin = line_start(ts, s.lo)
-        fills = begin >= s.lo - 1
+        fills = fills_line(ts, s.lo, s.hi)
         breaks = ts[s.lo].line - ts[prev.hi - 1].line if prev else None
         actor, rule = None, "none"
         if prev and play.last is not None and breaks == 0:
             actor, rule = play.last, "same_line"
+        elif fills and breaks == 1 and play.penult is not None:
+            actor, rule = play.penult, "alternation"
+        elif fills and breaks == 1 and s.tag != ALTERNATION and play.last is not None:
+            actor, rule = play.last, "goes_on"
         elif s.tag == STARTING and (found := name(begin if begin < s.lo - 1 else line_start(ts, max(0, begin - 1)), s.lo)):
             actor, rule = found, "named_before"
-        elif s.tag == ENDING and (found := name(s.hi, line_end(ts, s.hi - 1) + 1)):
-            actor, rule = found, "named_after"
-        elif s.tag == INSERTION and after and (found := name(s.hi, after.lo)):
-            actor, rule = found, "named_inside"
-        elif fills and breaks == 1:
-            if play.penult is not None:
-                actor, rule = play.penult, "alternation"
-            elif s.tag != ALTERNATION and play.last is not None:
-                actor, rule = play.last, "goes_on"
+        elif s.tag == ENDING or (s.tag == INSERTION and after):
+            lo, hi = (s.hi, line_end(ts, s.hi - 1) + 1) if s.tag == ENDING else (s.hi, after.lo)
+            if found := None if s.tag == INSERTION and parenthesized(ts, lo, hi) else name(lo, hi):
+                actor, rule = found, "named_after" if s.tag == ENDING else "named_inside"
+            elif begin and breaks != 1 and (found := name(ts_line_above(ts, begin), begin)):
+                actor, rule = found, "line_above"
+            elif play.penult is not None:
+                actor, rule = play.penult, "penult"
         elif fills and breaks == 2 and (found := name(ts_line_above(ts, begin), begin)):
             actor, rule = found, "line_above"
         elif fills and play.last is not None:

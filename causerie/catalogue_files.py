@@ -332,3 +332,46 @@ def payload_palettes(spark, d):
     """Names to choose from and the number of lines, in the payload of an annotator's page."""
     docs = _prose(_spoken(spark, d)).select(F.col("conv_id").cast("string").alias("doc_id"), "text")
     return annotation.payloads(docs).select("doc_id", "palette", F.size("replicas").alias("n"))
+
+
+@query(f"""
+    WITH c AS (SELECT conv_id, count(*) AS n, conv_id % 3 AS kind FROM conversations WHERE {SAID} <> '' GROUP BY conv_id)
+    SELECT conv_id, CAST(n AS INTEGER) AS n_gold, CAST(greatest(n - CASE kind WHEN 2 THEN 2 ELSE 1 END, 0) AS INTEGER) AS n_pred,
+           CAST(greatest(n - CASE kind WHEN 2 THEN 2 ELSE 1 END, 0) AS INTEGER) AS n_matched, CAST(CASE kind WHEN 2 THEN greatest(n - 2, 0) // 2 ELSE n - 1 END AS INTEGER) AS n_correct FROM c""")
+def align_repeats(spark, d):
+    """Lines that say yes and no in turn, predicted without the last, without the first, or without the first two: of equally long blocks the first one in gold counts, so that in the third case lines meet those two before them."""
+    rows = _spoken(spark, d).select("conv_id", F.col("seq").cast("int").alias("seq"), F.when(F.col("seq") % 4 == 0, "x").otherwise("y").alias("actor"), F.when(F.col("seq") % 2 == 0, "yes").otherwise("no").alias("replica"))
+    from pyspark.sql import Window
+
+    n = F.count("*").over(Window.partitionBy("conv_id"))
+    kept = F.when(F.col("conv_id") % 3 == 0, F.col("seq") < n - 1).when(F.col("conv_id") % 3 == 1, F.col("seq") >= 1).otherwise(F.col("seq") >= 2)
+    pred = rows.withColumn("kept", kept).where("kept").drop("kept")
+    return evaluation.counters(evaluation.align(rows, pred, "conv_id"), "conv_id")
+
+
+@query(f"WITH {_SPOKEN} SELECT CAST(conv_id AS VARCHAR) AS doc_id, seq, CASE WHEN seq % 2 = 0 THEN 'Анна' ELSE 'Пётр' END AS actor, CASE WHEN seq < 2 THEN 'named_after' ELSE 'alternation' END AS rule FROM n")
+def streamed_lines(spark, d):
+    """Lines and speakers of documents that come as a stream of files."""
+    from causerie.sources import jsonl
+    from causerie.streaming import live
+
+    docs = _prose(_spoken(spark, d)).select(F.col("conv_id").cast("string").alias("doc_id"), "text")
+    came, out = new_path(spark, "stream-in"), new_path(spark, "stream-out")
+    jsonl.write(docs.repartition(4), came)
+    live.start(live.lines(live.read_documents(spark, came, 2)), out.rsplit("/", 1)[1], path=out).awaitTermination()
+    return spark.read.schema(attribution.SCHEMA).parquet(out).select("doc_id", "seq", "actor", "rule")
+
+
+@query(f"WITH {_SPOKEN} SELECT CAST(conv_id AS VARCHAR) AS doc_id, seq, CASE WHEN seq % 2 = 0 THEN 'Анна' ELSE 'Пётр' END AS actor, CASE WHEN seq < 2 THEN 'given' ELSE 'alternation' END AS rule FROM n")
+def streamed_turns(spark, d):
+    """Turns that come as a stream, in any order: the first two with their speakers, the others without."""
+    from causerie.streaming import live
+
+    rows = _spoken(spark, d)
+    speaker = F.when(F.col("seq") == 0, "Анна").when(F.col("seq") == 1, "Пётр")
+    turns = rows.select(F.col("conv_id").cast("string").alias("doc_id"), F.col("seq").cast("int").alias("seq"), F.col("said").alias("text"), speaker.alias("speaker"), F.lit("2026-01-01 00:00:00").cast("timestamp").alias("at"))
+    came, out = new_path(spark, "turns-in"), new_path(spark, "turns-out")
+    turns.repartition(3, "seq").write.json(came)
+    stream = spark.readStream.schema(live.TURNS).option("maxFilesPerTrigger", 2).json(came)
+    live.start(live.live_lines(stream), out.rsplit("/", 1)[1], path=out).awaitTermination()
+    return spark.read.schema(live.OUT).parquet(out).select("doc_id", "seq", "actor", "rule")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +59,10 @@ def scene(lines: list[str]) -> list[dict]:
 
 def tokens(turns: DataFrame, lines: list[str], more: str | None = None) -> DataFrame:
     """The table of tokens (syntax.TOKENS) of a scene for each conversation; more: a line that follows once for each turn."""
-    spark = turns.sparkSession
-    kind = "struct<text:string,lemma:string,pos:string,dep:string,head:int,morph:map<string,string>,ent:string,newline:boolean>"
-    template = spark.createDataFrame([(scene(lines), scene([more]) if more else [])], f"first array<{kind}>, more array<{kind}>")
+    kind = "array<struct<text:string,lemma:string,pos:string,dep:string,head:int,morph:map<string,string>,ent:string,newline:boolean>>"
+    template = lambda ls: F.from_json(F.lit(json.dumps(scene(ls), ensure_ascii=False)), kind)
     convs = turns.where(collapse(F.col("text")) != "").groupBy("conv_id").agg(F.count("*").cast("int").alias("n"))
-    both = convs.crossJoin(F.broadcast(template))
+    both = convs.withColumns({"first": template(lines), "more": template([more] if more else [])})
     shifted = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.transform("more", lambda w: w.withField("head", w["head"] + F.size("first") + k * F.size("more")))))
     each = both.select("conv_id", F.posexplode(F.concat("first", shifted)).alias("i", "w")).select("conv_id", "i", "w.*")
     at = F.pmod("conv_id", F.lit(len(WOMEN))).cast("int")

@@ -108,7 +108,7 @@ class Forward:
         n = np.array([len(w) for w in words], np.int64)
         self.last = np.cumsum(n + 1) - 1
         self.first = self.last - n
-        order = np.lexsort((owner, end))
+        order = np.argsort(end * len(words) + owner)
         self.owner, self.ids = owner[order], ids[order]
         self.start, self.end = start[order], end[order]
         self.before, self.after = self.first[self.owner] + self.start, self.first[self.owner] + self.end
@@ -146,7 +146,7 @@ class Forward:
     def expected(self, p: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
         """Expected uses of each piece in one language (p of one column)."""
         a, b = self.alphas(p), np.zeros((int(self.last[-1]) + 1 if len(self.last) else 0, 1))
-        order = np.lexsort((self.owner, -self.start))
+        order = np.argsort(self.owner - self.start * len(self.first))
         self._walk(b, p[order], self.after[order], self.before[order], -self.start[order])
         uses = np.exp((a[self.before] + p + b[self.after] - a[self.last[self.owner]])[:, 0]) * counts[self.owner]
         out = np.bincount(np.maximum(self.ids, 0), np.where(self.ids >= 0, uses, 0), size)

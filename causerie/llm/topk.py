@@ -23,7 +23,7 @@ QUERIES_AT_A_TIME = 256
 #: Bytes of the queries that are broadcast at a time; all rows are read once for each such group of queries.
 QUERY_BYTES = 16 << 20
 #: First bounds of a query come from so many other queries.
-SEEDS = 2048
+SEEDS = 8192
 #: While more than this share of pairs is left, a block of dimensions is added to all by one matrix product; below it, those left are moved together.
 FEW = 0.02
 #: With fewer input partitions than rows / TASK_ROWS, and than four a core, rows are dealt out again.

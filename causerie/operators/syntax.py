@@ -19,6 +19,7 @@ NOMINAL = frozenset(["NOUN", "PROPN", "PRON", "NUM"])
 NAMING = NOMINAL - {"NUM"}
 DOERS = NOMINAL | {"ADJ"}
 VERBAL = frozenset(["VERB", "AUX"])
+MODIFIERS = frozenset("amod appos compound flat nmod".split())
 ON_THE_LEFT = frozenset("amod appos det fixed flat goeswith nmod nmod:poss nummod obl".split())
 ON_THE_RIGHT = ON_THE_LEFT - {"det"}
 #: Forms of the reflexive pronoun.
@@ -389,7 +390,7 @@ class Sentences:
         nouns = [w for w in words if w.pos in ("NOUN", "PROPN")]
         if len(nouns) > 1 and any(w.hyphen for w in words):
             left, right = nouns[0], nouns[-1]
-            bare = not any(self.words[k].dep in ("amod", "compound", "appos", "nmod", "flat") for k in self.children[left.i])
+            bare = not any(self.words[k].dep in MODIFIERS for k in self.children[left.i])
             if right.named or (right is self.root((lo, hi)) and left.pos == "NOUN" and bare):
                 return right.i, right.i + 1
         if self.vague((lo, hi)) and (told := self.descriptor((lo, hi))):

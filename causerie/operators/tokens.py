@@ -215,7 +215,8 @@ def parenthesized(ts: list[Token], lo: int, hi: int) -> bool:
 def fills_line(ts: list[Token], lo: int, hi: int) -> bool:
     """Does a line end within three tokens before a span, without a colon among them, and at its last token or within three after it?"""
     before = ts[max(0, lo - 3) : lo]
-    return any(t.newline for t in before) and not any(t.text == ":" for t in before) and any(t.newline for t in ts[hi - 1 : hi + 3])
+    colon = ":" in {t.text for t in before}
+    return not colon and any(t.newline for t in before) and any(t.newline for t in ts[hi - 1 : hi + 3])
 
 
 def line_breaks(ts: list[Token], a: tuple[int, int], b: tuple[int, int]) -> int:

@@ -9,6 +9,9 @@ from collections.abc import Callable, Iterator
 from urllib.parse import quote
 from urllib.request import urlopen
 
+#: How a file packed by gzip begins.
+PACKED = bytes([31, 139])
+
 
 def _get(url: str) -> bytes:
     with urlopen(url, timeout=60) as r:  # noqa: S310
@@ -29,6 +32,6 @@ def download(service: str, corpus: str, folder: str, fetch: Callable[[str], byte
             continue
         data = fetch(f"{root}/plays/{quote(play['name'])}/tei")
         with open(f"{path}.tmp", "wb") as out:
-            out.write(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+            out.write(gzip.decompress(data) if data.startswith(PACKED) else data)
         os.replace(f"{path}.tmp", path)
         yield play["name"]

@@ -19,6 +19,8 @@ NOMINAL = frozenset(["NOUN", "PROPN", "PRON", "NUM"])
 NAMING = NOMINAL - {"NUM"}
 DOERS = NOMINAL | {"ADJ"}
 VERBAL = frozenset(["VERB", "AUX"])
+#: What a word that acts or speaks is to its verb.
+ACTING = frozenset("nsubj obj acl acl:relcl".split())
 MODIFIERS = frozenset("amod appos compound flat nmod".split())
 ON_THE_LEFT = frozenset("amod appos det fixed flat goeswith nmod nmod:poss nummod obl".split())
 ON_THE_RIGHT = ON_THE_LEFT - {"det"}
@@ -537,7 +539,7 @@ class Sentences:
         """A subject or object of a verb of speech, a subject above one, or a voice with a telling adjective."""
         for w in self.cut(span):
             head = self.words[w.head] if 0 <= w.head < len(self.words) else w
-            if head is not w and head.pos == "VERB" and head.speech and w.pos not in ("SPACE", "PUNCT") and w.dep in ("nsubj", "obj", "acl", "acl:relcl"):
+            if head is not w and head.pos == "VERB" and head.speech and w.pos not in ("SPACE", "PUNCT") and w.dep in ACTING:
                 return True
             if w.dep == "nsubj" and any(self.words[k].pos == "VERB" and self.words[k].speech for k in self.below(w.head)):
                 return True

@@ -1,4 +1,4 @@
-"""python -m causerie: eval, convert, stats, audit, payload and play."""
+"""python -m causerie: eval, convert, download, stats, audit, payload and play."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from causerie.functions.text import pred_actor_key
 from causerie.operators import annotation, attribution, evaluation, quality
-from causerie.sources import jsonl, native
+from causerie.sources import download, jsonl, native
 from causerie.sources.common import whole_files
 from causerie.sources.registry import reader
 
@@ -64,6 +64,10 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     c.add_argument("path")
     c.add_argument("--out", required=True)
     c.add_argument("--split", choices=["all", "tune", "heldout"], default="all")
+    d = commands.add_parser("download")
+    d.add_argument("service", help="address below which corpora/NAME is found")
+    d.add_argument("corpus")
+    d.add_argument("folder")
     for name in ("stats", "audit", "payload", "play"):
         p = commands.add_parser(name)
         p.add_argument("path")
@@ -74,6 +78,10 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     if a.command == "eval" and a.errors and held_out(a.paths) and not a.unblind:
         print("errors of held-out texts are not shown", file=sys.stderr)
         return BLIND
+    if a.command == "download":
+        for name in download.download(a.service, a.corpus, a.folder):
+            print(name)
+        return 0
     spark = spark or SparkSession.builder.getOrCreate()
     if a.command == "eval":
         for path in a.paths:

@@ -21,10 +21,19 @@ DISTANCE = 24
 #: and at most so many of all 256.
 VERIFIED = 42
 HALVES = ("f1", "f2", "f3", "f4")
-#: Bits in a partition: what is counted and sent to the driver of a partition's values has 2**WIDTH rows at most.
+#: Bits in which the codes of a cell agree, at most: what is counted and sent to the driver of such bits has 2**WIDTH rows at most.
 WIDTH = 16
+#: Bits in a partition, as many as suit the number of codes (see layout).
+WIDTHS = range(12, 27)
 #: Largest threshold of a partition.
 MOST = WIDTH // 2
+#: Distinct codes, about, from which costs are estimated; of wider partitions, pairs of the first PROBES of them with all.
+SAMPLE = 16_000
+PROBES = 500
+#: Nanoseconds, about, for a row that is moved, a value that is looked up, a pair that is tested and an entry of a table of values. Results don't depend on them.
+ROW_NS, LOOKUP_NS, PAIR_NS, ENTRY_NS = 5000, 7, 20, 25
+#: Values that are looked up at a time.
+LOOKUPS = 200_000
 #: Codes that are compared at a time; a larger cell is compared in blocks of this many.
 CELL = 500_000
 CANDIDATES = 2_000_000
@@ -72,14 +81,15 @@ def _bits(b: pa.RecordBatch | pa.Table) -> np.ndarray:
 
 
 def unpack(f: np.ndarray) -> np.ndarray:
-    return np.unpackbits(f[:, :2].astype(">u8").view(np.uint8), axis=1)
+    return np.unpackbits(f.astype(">u8").view(np.uint8), axis=1)
 
 
-def group_bits(codes: DataFrame) -> list[list[int]]:
-    """Partitions of WIDTH bits each, those that vary together in one: pair counts over all codes, then greedy growth by the sum of correlations."""
+def correlations(codes: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of codes, and how far each two of their bits vary together, from pair counts over all codes."""
+    bits = 2 * BITS
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((BITS, BITS))
+        both = np.zeros((bits, bits))
         n = 0
         for b in batches:
             f = _bits(b)
@@ -87,22 +97,27 @@ def group_bits(codes: DataFrame) -> list[list[int]]:
                 x = unpack(f[lo : lo + 50_000]).astype(np.float32)
                 both += x.T @ x
                 n += len(x)
-        at = np.arange(BITS * BITS + 1, dtype=np.int32)
+        at = np.arange(bits * bits + 1, dtype=np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(both.ravel(), n).astype(np.int64))], ["at", "n"])
 
     rows = codes.mapInArrow(pairs, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros(BITS * BITS + 1)
+    flat = np.zeros(bits * bits + 1)
     flat[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
-    n, both = max(flat[-1], 1), flat[:-1].reshape(BITS, BITS)
+    n, both = max(flat[-1], 1), flat[:-1].reshape(bits, bits)
     p = np.diag(both) / n
     scale = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs((both / n - np.outer(p, p)) / np.outer(scale, scale))
     np.fill_diagonal(corr, 0)
-    free, groups = list(range(BITS)), []
-    while free:
+    return int(flat[-1]), corr
+
+
+def group_bits(corr: np.ndarray, count: int) -> list[list[int]]:
+    """So many partitions of nearly equal width, bits that vary together in one: greedy growth by the sum of correlations."""
+    free, groups = list(range(len(corr))), []
+    for k in range(count):
         inner = corr[np.ix_(free, free)]
         group = [free.pop(int(inner.max(axis=1).argmax()))]
-        while len(group) < WIDTH:
+        while len(group) < -(-(len(free) + len(group)) // (count - k)):
             group.append(free.pop(int(corr[np.ix_(free, group)].sum(1).argmax())))
         groups.append(sorted(group))
     return groups
@@ -116,22 +131,23 @@ def values(f: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def histograms(codes: DataFrame, groups: list[list[int]]) -> np.ndarray:
-    """How many codes have each value, by partition."""
+def histograms(codes: DataFrame, parts: list[list[int]]) -> list[np.ndarray]:
+    """How many codes have each value, for lists of at most WIDTH bits."""
+    first = np.cumsum([0, *(1 << len(bits) for bits in parts)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hist = np.zeros((len(groups), 1 << WIDTH), np.int64)
+        hist = np.zeros(first[-1], np.int64)
         for b in batches:
             f = _bits(b)
-            for g, bits in enumerate(groups):
-                hist[g] += np.bincount(values(f, bits), minlength=1 << WIDTH)
+            for k, bits in enumerate(parts):
+                hist[first[k] : first[k + 1]] += np.bincount(values(f, bits), minlength=1 << len(bits))
         at = np.flatnonzero(hist)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(hist.ravel()[at])], ["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(hist[at])], ["at", "n"])
 
     rows = codes.mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    hist = np.zeros(len(groups) << WIDTH, np.int64)
+    hist = np.zeros(first[-1], np.int64)
     hist[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
-    return hist.reshape(len(groups), 1 << WIDTH)
+    return np.split(hist, first[1:-1])
 
 
 def _walsh(x: np.ndarray) -> np.ndarray:
@@ -179,24 +195,67 @@ def allocate(counts: np.ndarray, distance: int) -> list[int]:
     return out[::-1]
 
 
-def costs(hist: np.ndarray) -> np.ndarray:
-    """Candidates of a partition by threshold, and as much for each value that is looked up for each code."""
-    looked_up = np.cumsum([comb(WIDTH, t) for t in range(WIDTH + 1)])
-    return candidate_counts(hist) + max(1, hist.sum()) * looked_up
+def split(bits: list[int], t: int) -> list[list[int]]:
+    """t + 1 parts of a partition's bits: codes within t there agree in one of them. Of a part, WIDTH bits at most."""
+    return [[bits[k] for k in part[:WIDTH]] for part in np.array_split(np.arange(len(bits)), t + 1)]
+
+
+def costs(n: int, width: int, pairs: np.ndarray) -> np.ndarray:
+    """Nanoseconds, about, that a partition takes by threshold from 0 to MOST: rows moved, tables, values looked up and candidates in its cells (see Plan).
+
+    n: codes; pairs: how many pairs of them differ in t bits at most of the partition, by t.
+    """
+    exact, out = np.diff(pairs, prepend=0), []
+    for t in range(MOST + 1):
+        sizes = [len(part) for part in split(list(range(width)), t)] if t < width else []
+        tested = sum(exact[j] * comb(width - s, j) / comb(width, j) for s in sizes for j in range(min(t, width - s) + 1))
+        looked_up = sum(comb(width - s, j) for s in sizes for j in range(1, t + 1)) / 2
+        out.append(n * (len(sizes) * ROW_NS + looked_up * LOOKUP_NS) + tested * PAIR_NS + len(sizes) * 2**width * ENTRY_NS if sizes else np.inf)
+    return np.array(out)
+
+
+def layout(n: int, distance: int, verified: int) -> tuple[int, int, int]:
+    """(bits, partitions, distance over those bits): the first half and its distance or all bits and theirs, whichever costs less if n codes were random.
+
+    Wide partitions have few candidates and many values to look up; the more codes, the wider the partitions that cost least.
+    """
+    best = (np.inf, BITS, BITS // WIDTH, distance)
+    for bits, most in ((BITS, distance), (2 * BITS, verified)):
+        for count in sorted({-(-bits // w) for w in WIDTHS}):
+            width, (low, more) = -(-bits // count), divmod(most + 1, count)
+            if low + (more > 0) > MOST + 1:
+                continue
+            random = n * n / 2 * np.cumsum([comb(width, t) / 2**width for t in range(width + 1)])
+            each = np.concatenate([[0], costs(n, width, random)])
+            best = min(best, (float((count - more) * each[low] + (more and more * each[low + 1])), bits, count, most))
+    return best[1:]
+
+
+def near_pairs(f: np.ndarray, bits: list[int], n: int) -> np.ndarray:
+    """About how many pairs of n codes differ in at most t of some bits, by t, from a sample: all its pairs if the bits are few."""
+    v = values(f, bits)
+    if len(bits) <= WIDTH:
+        return candidate_counts(np.bincount(v, minlength=1 << len(bits)))[: len(bits) + 1] * (n / max(1, len(f))) ** 2
+    apart = np.bitwise_count(v[:PROBES, None] ^ v[None, :])
+    found = np.cumsum(np.bincount(apart.ravel(), minlength=len(bits) + 1)) - min(PROBES, len(v))
+    return np.maximum(found, 0) * (n * n / 2 / max(1, apart.size))
+
+
+def cells_of(codes: DataFrame, distance: int, verified: int) -> list[tuple[list[int], list[int], int]]:
+    """(bits that agree, the other bits of the partition, its threshold): parts in whose cells all pairs meet that are within distance in the first half and verified in all bits."""
+    n, corr = correlations(codes)
+    bits, count, most = layout(n, distance, verified)
+    groups = group_bits(corr[:bits, :bits], count)
+    some = _bits(codes.where(F.pmod(F.xxhash64(*HALVES), F.lit(max(1, n // SAMPLE))) == 0).toArrow())
+    thresholds = allocate(np.stack([costs(n, len(g), near_pairs(some, g, n)) for g in groups]), most)
+    return [(part, [b for b in g if b not in part], t) for g, t in zip(groups, thresholds) if t >= 0 for part in split(g, t)]
 
 
 class Plan:
     """Cells: within a partition of threshold t, codes within the threshold agree in one of t + 1 parts of its bits; each value of each part is a cell."""
 
-    def __init__(self, groups: list[list[int]], thresholds: list[int], hist: np.ndarray, cell: int = CELL) -> None:
-        self.parts: list[tuple[list[int], list[int], int]] = []  # bits that agree, the other bits of the partition, threshold
-        sizes = []
-        for g, t in enumerate(thresholds):
-            for part in np.array_split(np.arange(WIDTH), t + 1) if t >= 0 else []:
-                agree = [groups[g][k] for k in part]
-                self.parts.append((agree, [b for b in groups[g] if b not in agree], t))
-                key = sum(((np.arange(1 << WIDTH) >> int(k)) & 1) << i for i, k in enumerate(part))
-                sizes.append(np.bincount(key, hist[g], 1 << len(part)).astype(np.int64))
+    def __init__(self, parts: list[tuple[list[int], list[int], int]], sizes: list[np.ndarray], cell: int = CELL) -> None:
+        self.parts = parts  # see cells_of
         self.first = np.concatenate([[0], np.cumsum([len(s) for s in sizes])]).astype(np.int64)
         self.sizes = np.concatenate(sizes)
         self.blocks = np.maximum(1, -(-self.sizes // cell))
@@ -236,30 +295,61 @@ class Components:
                 self.label = to
 
 
+def spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """So many numbers from each first on."""
+    return np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+
+
+def stretches(many: np.ndarray) -> Iterator[slice]:
+    """Slices with a sum of CANDIDATES at most, or of one element."""
+    ends = np.cumsum(many)
+    i = 0
+    while i < len(many):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CANDIDATES, "right")))
+        yield slice(i, j)
+        i = j
+
+
 def compare(f: np.ndarray, free: list[int], t: int, distance: int, verified: int, side: np.ndarray | None) -> Components:
-    """Join all codes of a cell that are within distance and verified and, in the free bits of its partition, within t.
+    """Join all codes of a cell that are within distance and verified and, in the free bits of its partition, within t. A group's label is one of its members.
 
-    side: if given, only codes of different sides are compared. Pairs known to be connected are not compared again: of a value that many codes share, those near the first one are
-    connected through it.
+    side: if given, only codes of different sides are compared. Of a value that many codes share, those near the first one are connected through it and not compared
+    with each other. Values are looked up in a table of those that there are, by the highest bit in which the two differ; if that would take longer, all codes are compared.
     """
-    found = Components(len(f))
+    found, out = Components(len(f)), Components(len(f))
     if len(f) < 2:
-        return found
+        return out
+    u = values(f, free)
+    order = np.argsort(u, kind="stable")
+    u = u[order]
+    words = [np.ascontiguousarray(f[order, k]) for k in range(len(HALVES))]
+    side = None if side is None else side[order]
+    linked: list[tuple[np.ndarray, np.ndarray]] = []
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        d = np.bitwise_count(f[a, 0] ^ f[b, 0]).astype(np.int16)
-        few = np.flatnonzero(d <= distance)
-        d = d[few] + np.bitwise_count(f[a[few], 1] ^ f[b[few], 1])
-        few, d = few[d <= distance], d[d <= distance]
-        return few[d + np.bitwise_count(f[a[few], 2] ^ f[b[few], 2]) + np.bitwise_count(f[a[few], 3] ^ f[b[few], 3]) <= verified]
+        most = min(distance, verified)
+        d = np.bitwise_count(words[0][a] ^ words[0][b])
+        few = np.flatnonzero(d <= most)
+        d = d[few].astype(np.int16)
+        for word, most in zip(words[1:], (most, verified, verified)):
+            d += np.bitwise_count(word[a[few]] ^ word[b[few]])
+            some = d <= most
+            few, d = few[some], d[some]
+        return few
+
+    def join() -> None:
+        if linked:
+            found.join(*map(np.concatenate, zip(*linked)))
+            linked.clear()
 
     def test(a: np.ndarray, b: np.ndarray) -> None:
-        new = found.label[a] != found.label[b]
         if side is not None:
-            new &= side[a] != side[b]
-        a, b = a[new], b[new]
+            other = side[a] != side[b]
+            a, b = a[other], b[other]
         some = near(a, b)
-        found.join(a[some], b[some])
+        linked.append((a[some], b[some]))
+        if sum(len(x) for x, _ in linked) > CANDIDATES:
+            join()
 
     def block(a: np.ndarray, b: np.ndarray) -> None:
         step = max(1, CANDIDATES // max(1, len(b)))
@@ -267,46 +357,53 @@ def compare(f: np.ndarray, free: list[int], t: int, distance: int, verified: int
             part = a[lo : lo + step]
             test(np.repeat(part, len(b)), np.tile(b, len(part)))
 
-    u = values(f, free)
-    order = np.argsort(u, kind="stable")
-    u = u[order]
-    counts = np.bincount(u, minlength=1 << len(free))
-    starts = np.cumsum(counts) - counts
-    big = 256
-    for v in np.flatnonzero(counts > big) if side is None else []:
-        rest = order[starts[v] : starts[v] + counts[v]]
-        while len(rest) > big:
-            first, others = rest[:1], rest[1:]
-            some = near(np.repeat(first, len(others)), others)
-            found.join(np.repeat(first, len(some)), others[some])
-            like = np.zeros(len(others), bool)
-            like[some] = True
-            block(others[like], others[~like])
-            rest = others[~like]
-        block(rest, rest)
-    masks = [0] + [sum(1 << k for k in c) for r in range(1, t + 1) for c in combinations(range(len(free)), r)]
-    step = max(1, CANDIDATES // len(masks))
-    for lo in range(0, len(u), step):
-        q = np.arange(lo, min(lo + step, len(u)))
-        target = u[q][:, None] ^ np.array(masks)[None, :]
-        many, start = counts[target], starts[target]
-        start[:, 0] = q + 1
-        many[:, 0] = starts[u[q]] + counts[u[q]] - q - 1
+    def runs(a: np.ndarray, first: np.ndarray, many: np.ndarray) -> None:
+        for k in stretches(many):
+            test(np.repeat(a[k], many[k]), spread(first[k], many[k]))
+
+    def look_up() -> None:
+        counts = np.bincount(u, minlength=1 << len(free))
+        starts = np.cumsum(counts) - counts
+        big = 256
+        for v in np.flatnonzero(counts > big) if side is None else []:
+            rest = everyone[starts[v] : starts[v] + counts[v]]
+            while len(rest) > big:
+                first, others = rest[:1], rest[1:]
+                like = np.zeros(len(others), bool)
+                like[near(np.repeat(first, len(others)), others)] = True
+                linked.append((np.repeat(first, like.sum()), others[like]))
+                block(others[like], others[~like])
+                rest = others[~like]
+            block(rest, rest)
+        after = starts[u] + counts[u] - everyone - 1
         if side is None:
-            many[counts[u[q]] > big, 0] = 0
-        many[:, 1:][target[:, 1:] < u[q][:, None]] = 0
-        who, start, many = np.repeat(q, len(masks)), start.ravel(), many.ravel()
-        some = np.flatnonzero(many)
-        who, start, many = who[some], start[some], many[some]
-        ends = np.cumsum(many)
-        i = 0
-        while i < len(many):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CANDIDATES, "right")))
-            m = many[i:j]
-            offset = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            test(order[np.repeat(who[i:j], m)], order[np.repeat(start[i:j], m) + offset])
-            i = j
-    return found
+            after[counts[u] > big] = 0
+        some = np.flatnonzero(after)
+        runs(some, some + 1, after[some])
+        there, single, known = counts > 0, counts == 1, np.flatnonzero(counts)
+        for h, masks in enumerate(highest):
+            zero = known[known >> h & 1 == 0]
+            step = max(1, LOOKUPS // len(masks))
+            for lo in range(0, len(zero), step):
+                target = zero[lo : lo + step, None] ^ masks
+                hit = np.flatnonzero(there[target])
+                v, w = zero[lo + hit // len(masks)], target.ravel()[hit]
+                one = single[v] & single[w]
+                test(starts[v[one]], starts[w[one]])
+                v, w = v[~one], w[~one]
+                for k in stretches(counts[v]):
+                    b = np.repeat(w[k], counts[v[k]])
+                    runs(spread(starts[v[k]], counts[v[k]]), starts[b], counts[b])
+
+    everyone = np.arange(len(u))
+    highest = [np.array([1 << h | sum(1 << k for k in c) for r in range(t) for c in combinations(range(h), r)]) for h in range(len(free))] if t else []
+    if len(u) * PAIR_NS < sum(map(len, highest)) * LOOKUP_NS + (ENTRY_NS << len(free)) / len(u):
+        runs(everyone[:-1], everyone[1:], everyone[:0:-1])
+    else:
+        look_up()
+    join()
+    out.label[order] = order[found.label]
+    return out
 
 
 def near_edges(codes: DataFrame, distance: int = DISTANCE, verified: int = VERIFIED, cell: int = CELL) -> DataFrame:
@@ -316,9 +413,8 @@ def near_edges(codes: DataFrame, distance: int = DISTANCE, verified: int = VERIF
     """
     if not 0 <= distance < BITS // WIDTH * (MOST + 1):
         raise ValueError(f"distance must be from 0 to {BITS // WIDTH * (MOST + 1) - 1}")
-    groups = group_bits(codes)
-    hist = histograms(codes, groups)
-    plan = Plan(groups, allocate(np.stack([costs(h) for h in hist]), distance), hist, cell)
+    parts = cells_of(codes, distance, verified)
+    plan = Plan(parts, histograms(codes, [agree for agree, _, _ in parts]), cell)
     spark = codes.sparkSession
     shared = spark.sparkContext.broadcast(plan)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan.rows // 1_000_000))

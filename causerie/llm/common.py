@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causerie.shipping import shared_dir, ship, written
+from causerie.shipping import pieces, shared_dir, ship, written
 
-__all__ = ["fresh", "n_tokens", "shared_dir", "ship", "table", "written"]
+__all__ = ["fresh", "n_tokens", "pieces", "shared_dir", "ship", "table", "written"]
 
 #: Runs of anything but ASCII white space; the same characters in Java, RE2 and Python.
 TOKEN_PATTERN = r"[^ \t\n\r\f\x0B]+"

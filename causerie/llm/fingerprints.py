@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causerie.llm.common import table, written
+from causerie.llm.common import pieces, table, written
 from causerie.llm.words import Digests
 
 SHINGLE = 5
@@ -22,7 +22,7 @@ CONTAINED = 0.8
 #: Modulus and multipliers of the two halves of a shingle's hash; see shingle_hashes.
 PRIME = (1 << 31) - 1
 MULTIPLIERS = ((1103515245, 1812433253 % PRIME, 69069, 1566083941, 1664525, 22695477, 1140671485, 214013), (742938285, 950706376, 1226874159, 62089911, 1343714438, 630360016, 16807, 48271))
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 200_000
 
 
 def limit(scaled: int) -> int:
@@ -78,7 +78,7 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE, scaled: int = SCALED, id_col
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Digests()
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole)):
             words = [t.lower().encode("utf-8", "surrogatepass").split() if t else [] for t in b.column("text").to_pylist()]
             lo = 0
             while lo < len(words):  # by so many words at a time, or one long document

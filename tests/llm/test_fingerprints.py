@@ -103,3 +103,38 @@ def test_merge(spark):
     assert fp.merge(fp.sketch(docs(spark, [])), "doc_id").collect() == []
     with pytest.raises(Exception, match="can't be refined"):
         fp.merge(fp.sketch(docs(spark), 3, 4), scaled=2).collect()
+
+
+def test_words_of_a_piece_at_a_time(spark, monkeypatch):
+    """A batch of many documents is taken apart by pieces, so the words held at once don't grow with Spark's batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    from causerie.llm import fingerprints
+    from causerie.shipping import PIECE_ROWS
+
+    rows = [(k, f"a b c d e f {k} {k % 7} g h") for k in range(2 * PIECE_ROWS + 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    want = {k: fingerprints.sketch(spark.createDataFrame([(k, t)], "doc_id bigint, text string")).first().hashes for k, t in rows[:: 4 * PIECE_ROWS // 5]}
+    sizes = fingerprints.sketch(docs)
+    got = {r.doc_id: r for r in sizes.collect()}
+    assert len(got) == len(rows) and all(r.n_words == 10 for r in got.values()) and all(got[k].hashes == h for k, h in want.items())
+    held = []
+    monkeypatch.setattr(fingerprints, "Digests", lambda: None)
+    monkeypatch.setattr(fingerprints, "shingle_hashes", lambda d, *_: held.append(len(d)) or (np.zeros(0, int),) * 2)
+
+    class Docs:
+        schema = docs.schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, schema):
+            list(f([pa.RecordBatch.from_pydict({"id": [k for k, _ in rows], "text": [t for _, t in rows]})]))
+            return self
+
+        def withColumnRenamed(self, *_):
+            return self
+
+    fingerprints.sketch(Docs())
+    assert sum(held) == len(rows) and max(held) <= PIECE_ROWS

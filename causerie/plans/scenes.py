@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causerie.functions.text import collapse
-from causerie.operators.sequences import offsets
+from causerie.shipping import written
 
 #: Names of a woman and a man, by the number of the conversation; their lemmas are the same in small letters.
 WOMEN, MEN = ("Марта", "Анна", "Ольга"), ("Яков", "Пётр", "Иван")
@@ -57,26 +57,44 @@ def scene(lines: list[str]) -> list[dict]:
     return out
 
 
+#: Tokens of a task; a task sorts those of its documents.
+TASK_TOKENS = 200_000
+
+
+def _named(rows: list[dict], at: int) -> tuple[list[dict], int]:
+    """rows with the names of a number and where each begins if all are followed by one character, and the length of all; a conversation without a number has no names."""
+    woman, man = ((*WOMEN, None)[at], (*MEN, None)[at])
+    texts, lemmas = {"@A": woman, "@B": man}, {"@a": woman and woman.lower(), "@b": man and man.lower()}
+    out, start = [], 0
+    for r in rows:
+        text = texts.get(r["text"], r["text"])
+        out.append({**r, "text": text, "lemma": lemmas.get(r["lemma"], r["lemma"]), "start": start})
+        start += len(text) + 1 if text is not None else 0
+    return out, start
+
+
 def tokens(turns: DataFrame, lines: list[str], more: str | None = None) -> DataFrame:
-    """The table of tokens (syntax.TOKENS) of a scene for each conversation; more: a line that follows once for each turn."""
-    kind = "array<struct<text:string,lemma:string,pos:string,dep:string,head:int,morph:map<string,string>,ent:string,newline:boolean>>"
-    template = lambda ls: F.from_json(F.lit(json.dumps(scene(ls), ensure_ascii=False)), kind)
-    convs = turns.where(collapse(F.col("text")) != "").groupBy("conv_id").agg(F.count("*").cast("int").alias("n"))
-    both = convs.withColumns({"first": template(lines), "more": template([more] if more else [])})
-    shifted = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.transform("more", lambda w: w.withField("head", w["head"] + F.size("first") + k * F.size("more")))))
-    each = both.select("conv_id", F.posexplode(F.concat("first", shifted)).alias("i", "w")).select("conv_id", "i", "w.*")
-    at = F.pmod("conv_id", F.lit(len(WOMEN))).cast("int")
-
-    def named(c: str):
-        low = c != "text"
-        pick = lambda names: F.get(F.array(*(F.lit(x.lower() if low else x) for x in names)), at)
-        a, b = ("@a", "@b") if low else ("@A", "@B")
-        return F.when(F.col(c) == a, pick(WOMEN)).when(F.col(c) == b, pick(MEN)).otherwise(F.col(c))
-
-    done = each.withColumns({"text": named("text"), "lemma": named("lemma")})
-    placed = offsets(done, "conv_id", ["i"], F.char_length("text"))
+    """The table of tokens (syntax.TOKENS) of a scene for each conversation; more: a line that follows once for each turn.
+
+    Conversations are dealt out by doc_id before they are rendered, in as many parts as there are TASK_TOKENS, so what a task holds doesn't grow with the table. Offsets come from those within a line, so nothing is sorted.
+    """
+    kind = "array<struct<text:string,lemma:string,pos:string,dep:string,head:int,morph:map<string,string>,ent:string,newline:boolean,start:int>>"
+    first, again = scene(lines), scene([more] if more else [])
+    convs = written(turns.where(collapse(F.col("text")) != "").groupBy("conv_id").agg(F.count("*").cast("int").alias("n")), "scenes")
+    total = convs.agg(F.coalesce(F.sum(F.lit(len(first)) + F.col("n") * len(again)), F.lit(0))).first()[0]
+    dealt = convs.select("conv_id", F.col("conv_id").cast("string").alias("doc_id"), "n").repartition(max(1, -(-total // TASK_TOKENS), turns.sparkSession.sparkContext.defaultParallelism), "doc_id")
+    at = F.coalesce(F.pmod("conv_id", F.lit(len(WOMEN))).cast("int"), F.lit(len(WOMEN)))
+
+    def template(rows: list[dict]):
+        kinds = [_named(rows, k) for k in range(len(WOMEN) + 1)]
+        return F.get(F.from_json(F.lit(json.dumps([r for r, _ in kinds], ensure_ascii=False)), f"array<{kind}>"), at), F.get(F.array(*(F.lit(n) for _, n in kinds)), at)
+
+    (head, head_size), (line, line_size) = template(first), template(again)
+    both = dealt.withColumns({"first": head, "more": line, "at_more": head_size, "size": line_size})
+    shifted = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.transform("more", lambda w: w.withField("head", w["head"] + F.size("first") + k * F.size("more")).withField("start", w["start"] + F.col("at_more") + k * F.col("size")))))
+    each = both.select("doc_id", F.posexplode(F.concat("first", shifted)).alias("i", "w")).select("doc_id", "i", "w.*")
     stop = F.col("start") + F.char_length("text")
-    return placed.select(F.col("conv_id").cast("string").alias("doc_id"), F.col("i").cast("int").alias("i"), F.col("start").cast("int").alias("start"), stop.cast("int").alias("end"), "text", "newline", "lemma", "pos", "dep", "head", "morph", "ent")
+    return each.select("doc_id", "i", "start", stop.cast("int").alias("end"), "text", "newline", "lemma", "pos", "dep", "head", "morph", "ent")
 
 
 DA = "– Да:да:PART:ROOT:. ."

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +67,57 @@ def sentences(tokens: DataFrame) -> DataFrame:
     return flagged.withColumn("sentence", F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_stop", "_reset", "_opens", "_after", "_at", "_begins")
 
 
+class Spelt(dict):
+    """Of each spelling, worked out once: is it an end mark (1), a hyphen (2), a word or number (4)?"""
+
+    MOST = 200_000
+
+    def __missing__(self, text: str) -> int:
+        from causerie.operators.syntax import STOPS
+        from causerie.operators.tokens import HYPHENS
+
+        word = any(unicodedata.category(c)[0] in "LN" for c in text)
+        if len(self) >= self.MOST:
+            self.clear()
+        self[text] = bits = (text in STOPS or (text[0] in "?!" and not word)) + 2 * (text in [*HYPHENS]) + 4 * word
+        return bits
+
+
+class SpeltSentences:
+    """The numbers that sentences gives, for tokens.tokens to derive: of tokens that are PUNCT if they have neither letters nor digits."""
+
+    kind = "int"
+
+    def __init__(self) -> None:
+        self.spelt = Spelt()
+
+    def __call__(self, columns: dict) -> np.ndarray:
+        from causerie.operators.tokens import last_before
+
+        said, newline = columns["text"], columns["newline"]
+        bits = np.fromiter(map(self.spelt.__getitem__, said), np.int64, len(said))
+        stop, hyphen = (bits & 1).astype(bool), (bits & 2).astype(bool)
+        opens = ~newline & ~stop & (bits & 6).astype(bool)
+        ended = last_before(stop & ~newline) > last_before(newline | opens)
+        after = np.concatenate([[True], (newline & ~hyphen)[:-1]])[: len(said)]
+        return np.cumsum((opens & ended) | (newline & hyphen) | after)
+
+
+class SpeltNear:
+    """What near gives for one spelling, for tokens.tokens to derive."""
+
+    kind = "boolean"
+
+    def __init__(self, text: str, radius: int) -> None:
+        self.text, self.radius = text, radius
+
+    def __call__(self, columns: dict) -> np.ndarray:
+        n = len(columns["text"])
+        total = np.concatenate([[0], np.cumsum(np.fromiter((t == self.text for t in columns["text"]), np.int64, n))])
+        at = np.arange(n)
+        return total[np.minimum(at + self.radius, n)] > total[np.maximum(at - self.radius, 0)]
+
+
 def prefilled(lines: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
     """lines (key, seq, replica, actor) with the speaker that gold (key, replica, actor) gives the same words, where it does; of several the last by seq, if gold has one."""
     order = F.col("seq") if "seq" in gold.columns else F.lit(0)

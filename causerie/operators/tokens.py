@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from causerie.shipping import ship
+from causerie.shipping import pieces, ship
 
 HYPHENS = "-–—−"
 OPEN_QUOTES = frozenset("«\"“„‘‚‹'「『＂")
@@ -108,7 +108,7 @@ class Flags(dict):
         return bits
 
 
-def _last(mark: np.ndarray) -> np.ndarray:
+def last_before(mark: np.ndarray) -> np.ndarray:
     """Position of the last marked one before each, or -1."""
     at = np.maximum.accumulate(np.where(mark, np.arange(len(mark)), -1))
     return np.concatenate([[-1], at[:-1]])
@@ -133,42 +133,48 @@ def columns_of(text: str, wanted: Sequence[str], flags: Flags) -> dict[str, list
         out |= {name: (bits >> k & 1).astype(bool) for k, name in enumerate(FLAGS)}
     if "sentence" in wanted:
         stays = out["is_word"] | out["is_hyphen"]
-        ended = _last(out["ends"] & ~stays) > _last(stays)
+        ended = last_before(out["ends"] & ~stays) > last_before(stays)
         begins = np.concatenate([[False], out["newline"][:-1]])[: len(said)] | (ended & (stays | out["opens"]))
         out["sentence"] = 1 + np.cumsum(begins)
     return {name: out[name] for name in wanted}
 
 
-def tokens(docs: DataFrame, *columns: str) -> DataFrame:
+def tokens(docs: DataFrame, *columns: str, **derived: Callable[[dict], np.ndarray]) -> DataFrame:
     """A row a token of docs (doc_id, text): doc_id and columns, or all of SCHEMA; null and empty texts have none.
 
     Columns are made as arrays, a batch of documents at a time; naming those needed saves the work for the others (offsets and lines cost the most).
+    derived: more columns, of the type that a function has as its kind, each made of the arrays text and newline of a document; documents are whole in their rows, so nothing is shuffled for them.
     """
     ship(docs.sparkSession)
-    wanted = [c for c in columns if c != "doc_id"] or [c for c in KINDS if c != "doc_id"]
-    schema = pa.schema([ARROW.field(c) for c in ("doc_id", *wanted)])
+    wanted = [c for c in columns if c != "doc_id"] or [c for c in KINDS if c != "doc_id" and not derived]
+    made = list(dict.fromkeys([*wanted, *(("text", "newline") if derived else ())]))
+    kinds = KINDS | {name: f.kind for name, f in derived.items()}
+    schema = pa.schema([pa.field(c, _KINDS[kinds[c]]) for c in ("doc_id", *wanted, *derived)])
+    shown = schema.names[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = Flags()
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole)):
             keys, texts = b.column("doc_id"), b.column("text").to_pylist()
             lo = 0
             while lo < len(texts):
                 owner, parts, n = [], [], 0
                 while lo < len(texts) and n < 200_000:
                     if texts[lo]:
-                        parts.append(columns_of(texts[lo], wanted, flags))
-                        size = len(parts[-1][wanted[0]])
+                        part = columns_of(texts[lo], made, flags)
+                        part |= {name: f(part) for name, f in derived.items()}
+                        parts.append({c: part[c] for c in shown})
+                        size = len(parts[-1][shown[0]])
                         owner.append(np.full(size, lo))
                         n += size
                     lo += 1
                 if n:
                     cols = [keys.take(pa.array(np.concatenate(owner)))]
-                    for c in wanted:
-                        cols.append(pa.array([x for p in parts for x in p[c]], pa.string()) if c == "text" else pa.array(np.concatenate([p[c] for p in parts])).cast(ARROW.field(c).type))
+                    for c in shown:
+                        cols.append(pa.array([x for p in parts for x in p[c]], pa.string()) if c == "text" else pa.array(np.concatenate([p[c] for p in parts])).cast(schema.field(c).type))
                     yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return docs.selectExpr("cast(doc_id AS string) AS doc_id", "text").mapInArrow(run, ", ".join(f"{c} {KINDS[c]}" for c in ("doc_id", *wanted)))
+    return docs.selectExpr("cast(doc_id AS string) AS doc_id", "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in schema.names))
 
 
 def has_newline(ts: list[Token], i: int) -> bool:
